@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lakeloom.llm.byte_bpe import bpe_encode
 from lakeloom.llm.common import table
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates
@@ -19,8 +22,13 @@ def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_two_tier_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_pareto_mixing)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_pareto_mixing, op8_two_tier_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
