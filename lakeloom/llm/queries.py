@@ -12,6 +12,22 @@ from lakeloom.llm.byte_bpe import bpe_encode
 from lakeloom.llm.common import table
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates
+from lakeloom.llm.quality_crf import QualityModel, score_quality, train_quality
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether a document is in the fold that no model learns from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> QualityModel:
+    return train_quality(docs, table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op1_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, quality_model(spark, sf_dir, docs), keep=["doc_id"])
+    return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +44,7 @@ def op8_two_tier_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_pareto_mixing, op8_two_tier_byte_bpe)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op5_pareto_mixing, op8_two_tier_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
