@@ -25,11 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, path: str | None = None) -> DataFrame:
+def saved(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -13,6 +13,7 @@ from lakeloom.llm.common import table
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates
 from lakeloom.llm.quality_crf import QualityModel, score_quality, train_quality
+from lakeloom.llm.token_files import ids_crc32, token_table
 
 
 def held_out(id_col: str = "doc_id"):
@@ -34,6 +35,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op4_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return out.select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+
+
 def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -44,7 +50,7 @@ def op8_two_tier_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op5_pareto_mixing, op8_two_tier_byte_bpe)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op4_ranked_token_files, op5_pareto_mixing, op8_two_tier_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
