@@ -14,6 +14,7 @@ from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates
 from lakeloom.llm.quality_crf import QualityModel, score_quality, train_quality
 from lakeloom.llm.token_files import ids_crc32, token_table
+from lakeloom.llm.warc import WARC_SQL, warc_round_trip
 
 
 def held_out(id_col: str = "doc_id"):
@@ -49,9 +50,13 @@ def op8_two_tier_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op4_ranked_token_files, op5_pareto_mixing, op8_two_tier_byte_bpe)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op4_ranked_token_files, op5_pareto_mixing, op8_two_tier_byte_bpe, op10_chunked_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mixing": MIX_SQL}
+    return {"op5_pareto_mixing": MIX_SQL, "op10_chunked_warc": WARC_SQL}
