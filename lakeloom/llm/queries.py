@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.byte_bpe import bpe_encode
 from lakeloom.llm.common import table
+from lakeloom.llm.exact_topk import TOPK_SQL, exact_topk
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates
 from lakeloom.llm.quality_crf import QualityModel, score_quality, train_quality
@@ -45,6 +46,11 @@ def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op8_two_tier_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -55,8 +61,8 @@ def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op4_ranked_token_files, op5_pareto_mixing, op8_two_tier_byte_bpe, op10_chunked_warc)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op4_ranked_token_files, op5_pareto_mixing, op6_branch_and_bound_topk, op8_two_tier_byte_bpe, op10_chunked_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mixing": MIX_SQL, "op10_chunked_warc": WARC_SQL}
+    return {"op5_pareto_mixing": MIX_SQL, "op6_branch_and_bound_topk": TOPK_SQL, "op10_chunked_warc": WARC_SQL}
