@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.byte_bpe import bpe_encode
 from lakeloom.llm.common import table
 from lakeloom.llm.exact_topk import TOPK_SQL, exact_topk
+from lakeloom.llm.license_scan import license_sql, scan_licenses
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates
 from lakeloom.llm.quality_crf import QualityModel, score_quality, train_quality
@@ -37,6 +38,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return out.select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
@@ -61,8 +66,8 @@ def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op4_ranked_token_files, op5_pareto_mixing, op6_branch_and_bound_topk, op8_two_tier_byte_bpe, op10_chunked_warc)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op3_template_licenses, op4_ranked_token_files, op5_pareto_mixing, op6_branch_and_bound_topk, op8_two_tier_byte_bpe, op10_chunked_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mixing": MIX_SQL, "op6_branch_and_bound_topk": TOPK_SQL, "op10_chunked_warc": WARC_SQL}
+    return {"op3_template_licenses": license_sql(), "op5_pareto_mixing": MIX_SQL, "op6_branch_and_bound_topk": TOPK_SQL, "op10_chunked_warc": WARC_SQL}
