@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.byte_bpe import bpe_encode
 from lakeloom.llm.common import table
 from lakeloom.llm.exact_topk import TOPK_SQL, exact_topk
+from lakeloom.llm.html_text import extract_text
 from lakeloom.llm.license_scan import license_sql, scan_licenses
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates
@@ -61,12 +62,17 @@ def op8_two_tier_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_boosted_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.select("row.page_id", "row.url", "text", "n_chars")
+
+
 def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op3_template_licenses, op4_ranked_token_files, op5_pareto_mixing, op6_branch_and_bound_topk, op8_two_tier_byte_bpe, op10_chunked_warc)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op3_template_licenses, op4_ranked_token_files, op5_pareto_mixing, op6_branch_and_bound_topk, op8_two_tier_byte_bpe, op9_boosted_html_text, op10_chunked_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
