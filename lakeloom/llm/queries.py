@@ -13,6 +13,7 @@ from lakeloom.llm.common import table
 from lakeloom.llm.exact_topk import TOPK_SQL, exact_topk
 from lakeloom.llm.html_text import extract_text
 from lakeloom.llm.license_scan import license_sql, scan_licenses
+from lakeloom.llm.media import read_media, store_media
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates
 from lakeloom.llm.quality_crf import QualityModel, score_quality, train_quality
@@ -57,6 +58,11 @@ def op6_branch_and_bound_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op7_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = read_media(store_media(table(spark, sf_dir, "documents"), keep=["doc_id"]), pixels=False)
+    return out.select("row.doc_id", *(c for c in out.columns if c != "row"))
+
+
 def op8_two_tier_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -72,7 +78,7 @@ def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op3_template_licenses, op4_ranked_token_files, op5_pareto_mixing, op6_branch_and_bound_topk, op8_two_tier_byte_bpe, op9_boosted_html_text, op10_chunked_warc)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op3_template_licenses, op4_ranked_token_files, op5_pareto_mixing, op6_branch_and_bound_topk, op7_lossless_webp, op8_two_tier_byte_bpe, op9_boosted_html_text, op10_chunked_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
