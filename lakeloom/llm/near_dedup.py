@@ -7,8 +7,9 @@ counting equal bit groups (corrected for the chance that unequal minima share th
 Documents with equal shingle sets form one class; what follows works on classes only. In each band bucket the
 class that meets most others is the hub, and every other class is compared with it: rows grow with the members,
 not with their pairs. Where a bucket then holds more than one component, its members outside the hub's component
-meet the others in bounded blocks: packed signatures screen the blocks, and full sets confirm what is left, so
-that no link between classes that share a band is lost.
+meet the others: pair by pair in buckets of at most ``SMALL`` members, else in bounded blocks. Packed signatures
+screen pairs and blocks, and full sets confirm what is left, so that no link between classes that share a band is
+lost.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BANDS, ROWS, BITS = 48, 5, 4
 MARGIN = 0.165
 #: Shingles and members in one block of a crowded bucket.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 256
+#: Buckets of at most so many members are compared pair by pair.
+SMALL = 16
 
 _rng = np.random.default_rng(20_240_229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -230,17 +233,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = classes.select("cls", "n", "sig")
     pairs = members.join(hubs, "band").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     side = lambda c, s: sig.select(F.col("cls").alias(c), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"sig{s}"))
-    near = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(_near(threshold)).select("a", "b")
     has = lambda c: sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"s{c}"))
-    links = saved(near.join(has("a"), "a").join(has("b"), "b").select("a", "b", "sa", "sb").mapInArrow(partial(_linked, percent=percent), "a binary, b binary"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(_near(threshold)).select("a", "b")
+        return near.join(has("a"), "a").join(has("b"), "b").select("a", "b", "sa", "sb").mapInArrow(partial(_linked, percent=percent), "a binary, b binary")
+
+    links = saved(confirmed(pairs))
     label = components(links)
 
     # buckets that still hold several components: the members outside the hub's component against all others
     of = label.withColumnRenamed("node", "cls")
-    placed = saved(members.join(of, "cls", "left").select("band", "cls", F.coalesce("label", "cls").alias("comp")))
+    placed = saved(members.join(of, "cls", "left").select("band", "cls", "members", F.coalesce("label", "cls").alias("comp")))
     main = hubs.join(of.withColumnRenamed("cls", "hub"), "hub", "left").select("band", F.coalesce("label", "hub").alias("main"))
     several = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    open_ = saved(placed.join(several, "band").join(main, "band").join(sig, "cls").withColumn("out", F.col("comp") != F.col("main")))
+    apart = saved(placed.join(several, "band").join(main, "band").select("band", "cls", "members", "comp", (F.col("comp") != F.col("main")).alias("out")))
+    few = apart.where(F.col("members") <= SMALL)
+    x, y = few.where("out").select("band", F.col("cls").alias("x"), F.col("comp").alias("cx")), few.select("band", F.col("cls").alias("y"), F.col("comp").alias("cy"))
+    pairs = x.join(y, "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links_few = saved(confirmed(pairs))
+
+    open_ = saved(apart.where(F.col("members") > SMALL).join(sig, "cls"))
     blocks = open_.groupBy("band").agg(
         *(F.greatest(F.ceil(F.sum(F.when(w, 1).otherwise(0)) / BLOCK_MEMBERS), F.ceil(F.sum(F.when(w, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias(c) for c, w in (("nx", F.col("out")), ("ny", F.lit(True))))
     )
@@ -250,14 +263,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = placed_in.select(*common, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), F.pmod("h", "ny").cast("int").alias("yb"))
     screened = saved(left.unionByName(right).groupBy("band", "xb", "yb").applyInPandas(partial(_screen, threshold=threshold), "band long, xb int, yb int, left boolean, cls binary, comp binary"))
     more = saved(screened.join(sets, "cls").groupBy("band", "xb", "yb").applyInPandas(partial(_confirm, percent=percent), "a binary, b binary").distinct())
-    final = components(links.union(more))
+    final = components(links.union(links_few).union(more))
 
     least = saved(
         classes.select("cls", "least").join(final.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
     )
     smallest = least.groupBy("label").agg(F.min("least").alias("component"))
     named = least.join(smallest, "label").select("cls", "component")
-    drop_saved(members, hubs, sets, links, label, placed, open_, screened, more, classes, final)
+    drop_saved(members, hubs, sets, links, links_few, label, placed, apart, open_, screened, more, classes, final)
     rows = signed.select("id", "n", "cls").join(named, "cls", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
