@@ -40,11 +40,15 @@ class PerfectHash:
     """Minimal perfect hash of distinct byte strings: key -> its place in the list, or -1 for any other string."""
 
     def __init__(self, keys: list[bytes]) -> None:
-        self.keys, n = keys, len(keys)
-        self.buckets = max(1, n // _BUCKET_KEYS)
+        self.keys, self.buckets, self.seed = keys, max(1, len(keys) // _BUCKET_KEYS), 0
+        while not self._built():
+            self.seed += 1
+
+    def _built(self) -> bool:
+        n = len(self.keys)
         groups: list[list[tuple[int, int, int]]] = [[] for _ in range(self.buckets)]
-        for i, key in enumerate(keys):
-            h = xxhash.xxh3_64_intdigest(key)
+        for i, key in enumerate(self.keys):
+            h = xxhash.xxh3_64_intdigest(key, self.seed)
             groups[h % self.buckets].append((h >> 34, (h & 0x3FFFFFFF) | 1, i))
         self.displace, self.slot = [0] * self.buckets, [-1] * n
         ones = []
@@ -53,23 +57,25 @@ class PerfectHash:
             if len(group) == 1:
                 ones.append(b)
                 continue
-            d = 0
-            while group:
+            for d in range(8 * n + 64 if group else 0):
                 at = [(x + d * y) % n for x, y, _ in group]
                 if all(self.slot[k] < 0 for k in at) and len(set(at)) == len(at):
                     for k, (_, _, i) in zip(at, group, strict=True):
                         self.slot[k] = i
                     self.displace[b] = d
                     break
-                d += 1
+            else:
+                if group:
+                    return False  # another seed
         left = [k for k in range(n) if self.slot[k] < 0]
         for b, k in zip(ones, left, strict=True):  # a bucket of one key names its slot
             self.slot[k], self.displace[b] = groups[b][0][2], -k - 1
+        return True
 
     def find(self, key: bytes) -> int:
         if not self.keys:
             return -1
-        h = xxhash.xxh3_64_intdigest(key)
+        h = xxhash.xxh3_64_intdigest(key, self.seed)
         d = self.displace[h % self.buckets]
         i = self.slot[-d - 1 if d < 0 else ((h >> 34) + d * ((h & 0x3FFFFFFF) | 1)) % len(self.keys)]
         return i if self.keys[i] == key else -1
