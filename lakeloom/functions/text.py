@@ -13,6 +13,11 @@ ARTICLES = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 OPTION_LETTERS = "ABCDEFGHIJ"
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends (trim() takes blanks only)."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def words(text: Column) -> Column:
     """Words between white space; none for null or blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
@@ -24,17 +29,17 @@ def word_count(text: Column) -> Column:
 
 def plain_answer(text: Column) -> Column:
     """Punctuation out (letters, digits, underscores and white space stay), lower case, trimmed."""
-    return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", "")))
+    return stripped(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", "")))
 
 
 def first_clause(text: Column) -> Column:
     """What stands before the first semicolon, trimmed, in lower case."""
-    return F.lower(F.trim(F.split_part(text, F.lit(";"), F.lit(1))))
+    return F.lower(stripped(F.split_part(text, F.lit(";"), F.lit(1))))
 
 
 def list_answer(text: Column) -> Column:
     """Brackets and quotes out, underscores to blanks, trimmed."""
-    return F.trim(F.translate(F.regexp_replace(text, r"[\[\]']", ""), "_", " "))
+    return stripped(F.translate(F.regexp_replace(text, r"[\[\]']", ""), "_", " "))
 
 
 def squad_normal(text: Column) -> Column:
@@ -56,13 +61,13 @@ def numbers(text: Column) -> Column:
 def between_tags(text: Column, tag: str = "answer") -> Column:
     """What stands in the first <tag>...</tag>, trimmed; null without one."""
     inside = rf"(?s)<{tag}>(.*?)</{tag}>"
-    return F.when(text.rlike(inside), F.trim(F.regexp_extract(text, inside, 1)))
+    return F.when(text.rlike(inside), stripped(F.regexp_extract(text, inside, 1)))
 
 
 def caption(*fields: Column, default: str = "Image.") -> Column:
     """The first field that is there; the default where that is blank or all are missing."""
     chosen = F.coalesce(*fields)
-    return F.when(F.trim(F.coalesce(chosen, F.lit(""))) == "", F.lit(default)).otherwise(chosen)
+    return F.when(stripped(F.coalesce(chosen, F.lit(""))) == "", F.lit(default)).otherwise(chosen)
 
 
 def points_text(points: Column, label: Column) -> Column:
@@ -111,5 +116,5 @@ def concise_reward(text: Column) -> Column:
 
 def correct_reward(text: Column, answer: Column) -> Column:
     """One if equal (trimmed, lower case), a half if the answer is contained, else nothing; nothing without answer."""
-    t, a = F.lower(F.trim(text)), F.lower(F.trim(answer))
+    t, a = F.lower(stripped(text)), F.lower(stripped(answer))
     return F.when(F.coalesce(a, F.lit("")) == "", 0.0).when(t == a, 1.0).when(F.contains(t, a), 0.5).otherwise(0.0)

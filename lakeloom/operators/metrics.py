@@ -48,7 +48,7 @@ def clustered_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 10
     """mean, low, clusters: the mean and its one-sided lower bound, the ceil(alpha * draws)-th smallest of the means of
     ``draws`` resamples of whole clusters.
 
-    Each task draws Poisson counts for the clusters it has, by draw, and sends the sums: two numbers a draw and task."""
+    Resamples that draw no cluster don't count. Each task draws Poisson counts for the clusters it has, by draw, and sends the sums: two numbers a draw and task."""
     per = df.groupBy(cluster).agg(F.sum(value).cast("double").alias("total"), F.count(value).alias("n"))
 
     def resampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,10 +63,11 @@ def clustered_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 10
         yield pd.DataFrame({"draw": range(draws), "total": total, "n": n})
 
     keyed = per.select(F.xxhash64(cluster).alias("key"), "total", "n")
-    means = keyed.mapInPandas(resampled, "draw int, total double, n double").groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    means = keyed.mapInPandas(resampled, "draw int, total double, n double").groupBy("draw").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean")).where("mean is not null")
     place = -(-int(alpha * draws * 1_000_000) // 1_000_000)
-    low = F.element_at(F.array_sort(F.collect_list("mean")), max(place, 1)).alias("low")  # ``draws`` numbers
-    whole = per.agg((F.sum("total") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("clusters"))
+    every = F.array_sort(F.collect_list("mean"))  # ``draws`` numbers at most
+    low = F.element_at(every, F.least(F.lit(max(place, 1)), F.size(every))).alias("low")
+    whole = per.agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("clusters"))
     return whole.join(means.agg(low))
 
 

@@ -38,8 +38,8 @@ def coverage(datasets: DataFrame, draws: int, size: str = "samples", weight: str
     over every dataset takes."""
     every = Window.partitionBy()
     df = shares(datasets, weight)
-    df = df.withColumn("expected", F.col("share") * draws).withColumn("passes", F.col("expected") / F.col(size))
-    return df.withColumn("full_pass", F.max(F.col(size) / F.col("share")).over(every))
+    df = df.withColumn("expected", F.col("share") * draws).withColumn("passes", F.try_divide(F.col("expected"), F.col(size)))
+    return df.withColumn("full_pass", F.max(F.try_divide(F.col(size), F.col("share"))).over(every))
 
 
 def class_weights(df: DataFrame, label: str, cap: float = 10.0) -> DataFrame:

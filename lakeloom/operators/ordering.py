@@ -84,7 +84,7 @@ def padding(df: DataFrame, batch: str, length: str, *by: str) -> DataFrame:
     return per.groupBy(*by).agg(
         F.count(F.lit(1)).alias("batches"),
         F.sum("rows").alias("rows"),
-        F.round(F.sum("kept") / F.sum("cells"), 6).alias("efficiency"),
+        F.round(F.try_divide(F.sum("kept"), F.sum("cells")), 6).alias("efficiency"),
         F.round(F.min(share), 6).alias("least"),
         F.round(F.max(share), 6).alias("most"),
         (F.sum("cells") - F.sum("kept")).alias("wasted"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
-from lakeloom.operators import audit, metrics, mixture, ordering, telemetry
+from lakeloom.operators import audit, curation, metrics, mixture, ordering, telemetry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -282,7 +282,8 @@ def derangement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-SELECT doc_id, trim(lower(regexp_replace(text, '[^\p{L}\p{N}_\s]', '', 'g'))) AS plain, lower(trim(split_part(text, ';', 1))) AS clause, trim(replace(regexp_replace(text, '[\[\]'']', '', 'g'), '_', ' ')) AS listed FROM documents
+WITH d AS (SELECT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}_\s]', '', 'g')) AS plain, lower(split_part(text, ';', 1)) AS clause, replace(regexp_replace(text, '[\[\]'']', '', 'g'), '_', ' ') AS listed FROM documents)
+SELECT doc_id, regexp_replace(plain, '^\s+|\s+$', '', 'g') AS plain, regexp_replace(clause, '^\s+|\s+$', '', 'g') AS clause, regexp_replace(listed, '^\s+|\s+$', '', 'g') AS listed FROM d
 """
 )
 def answer_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -634,3 +635,94 @@ def sequence_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = (F.col("pos") - 10 >= 0) & (F.col("pos") + 13 <= F.col("n"))
     part = lambda a, n: F.substr("s", (F.col("pos") + a).cast("int"), F.lit(n))
     return d.select("doc_id", F.when(inside, "ok").otherwise("out_of_range").alias("status"), F.when(inside, part(-9, 23)).alias("reference"), F.when(inside, F.concat(part(-9, 10), F.lit("NNNN"), part(4, 10))).alias("variant"))
+
+
+# ---- curation and rules ------------------------------------------------------------------------------------------
+
+_RECORD = """concat('ENTRY       N', n_nationkey, chr(10), 'NAME        ', n_name, chr(10), 'VARIANT     ', n_nationkey, 'v1 (first) ', n_regionkey, 'v2', chr(10), '            ', n_nationkey, 'v1 again ', n_nationkey, 'v3', chr(10), chr(10), 'GENE        7157 TP53')"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "nation").select("n_nationkey", F.expr(_RECORD).alias("record"))
+
+
+_FIELDS = rf"""
+r AS (SELECT n_nationkey, {_RECORD} AS record FROM nation),
+l AS (SELECT n_nationkey, CAST(i - 1 AS INT) AS line, raw FROM (SELECT n_nationkey, unnest(string_split(record, chr(10))) AS raw, generate_subscripts(string_split(record, chr(10)), 1) AS i FROM r) WHERE trim(raw) <> ''),
+n AS (SELECT *, nullif(regexp_extract(raw, '^(\S+)', 1), '') AS named FROM l),
+f AS (SELECT n_nationkey, line, last_value(named IGNORE NULLS) OVER (PARTITION BY n_nationkey ORDER BY line) AS field, trim(CASE WHEN named IS NOT NULL THEN regexp_replace(raw, '^\S+', '') ELSE raw END) AS value FROM n)
+"""
+
+
+@query(f"WITH {_FIELDS} SELECT * FROM f")
+def flatfile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curation.record_fields(_records(spark, sf_dir), "n_nationkey", "record")
+
+
+@query(
+    rf"""
+WITH {_FIELDS}, x AS (SELECT n_nationkey, line, regexp_extract_all(value, '\d+v\d+') AS ts FROM f WHERE field = 'VARIANT'), u AS (SELECT n_nationkey, line, unnest(ts) AS token, generate_subscripts(ts, 1) AS nth FROM x),
+m AS (SELECT n_nationkey, token, min(line * 1000 + nth) AS first FROM u GROUP BY ALL)
+SELECT n_nationkey, token, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY first) - 1 AS BIGINT) AS place FROM m
+"""
+)
+def variant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = curation.record_fields(_records(spark, sf_dir), "n_nationkey", "record")
+    return curation.variant_tokens(fields.where("field = 'VARIANT'"), "n_nationkey")
+
+
+_SPDI = "concat('NC_', l_suppkey, ':', CASE WHEN l_linenumber = 3 THEN 'x' ELSE CAST(l_partkey AS VARCHAR(20)) END, ':A:', CASE WHEN l_linenumber = 5 THEN 'G:T' ELSE 'G' END)"
+
+
+@query(
+    f"""
+WITH s AS (SELECT l_orderkey, l_linenumber, string_split({_SPDI}, ':') AS p FROM lineitem), v AS (SELECT *, len(p) = 4 AND try_cast(p[2] AS BIGINT) IS NOT NULL AS ok FROM s)
+SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN p[1] END AS seq, CASE WHEN ok THEN try_cast(p[2] AS BIGINT) END AS pos, CASE WHEN ok THEN p[3] END AS ref, CASE WHEN ok THEN p[4] END AS alt FROM v
+"""
+)
+def spdi_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", curation.coordinates(F.expr(_SPDI)).alias("c"))
+    return d.select("l_orderkey", "l_linenumber", "c.seq", "c.pos", "c.ref", "c.alt")
+
+
+@query(
+    """
+WITH d AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS same FROM documents), r AS (
+  SELECT doc_id, unnest([CASE WHEN NOT coalesce(same = 1, false) THEN 'id repeats' END, CASE WHEN NOT coalesce(trim(text) <> '', false) THEN 'text is blank' END, CASE WHEN NOT coalesce(n_chars = length(text), false) THEN 'length differs' END,
+    CASE WHEN NOT coalesce(lang IN ('en', 'de', 'fr'), false) THEN 'language is unknown' END, CASE WHEN NOT coalesce(regexp_matches(source, '^src[0-9]+$'), false) THEN 'source is malformed' END]) AS rule FROM d)
+SELECT doc_id, rule FROM r WHERE rule IS NOT NULL
+"""
+)
+def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t(spark, sf_dir, "documents")
+    repeats = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("same"))
+    rules = {
+        "id repeats": F.col("same") == 1,
+        "text is blank": F.trim("text") != "",
+        "length differs": F.col("n_chars") == F.length("text"),
+        "language is unknown": F.col("lang").isin("en", "de", "fr"),
+        "source is malformed": F.col("source").rlike(r"^src[0-9]+$"),
+    }
+    return curation.violations(d.join(repeats, "doc_id"), "doc_id", rules)
+
+
+@query(
+    """
+SELECT lang, CAST(count(*) AS BIGINT) AS n, round(avg(length(text)), 4) AS mean, round(stddev_samp(length(text)), 4) AS deviation, CAST(min(length(text)) AS BIGINT) AS least, CAST(max(length(text)) AS BIGINT) AS most, round(avg((length(text) > 2000)::INT), 6) AS share_long FROM documents GROUP BY lang
+"""
+)
+def describe_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    return t(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 4).alias("mean"), F.round(F.stddev_samp(n), 4).alias("deviation"), F.min(n).cast("long").alias("least"), F.max(n).cast("long").alias("most"), r6(F.avg((n > 2000).cast("int"))).alias("share_long"))
+
+
+@query(
+    """
+WITH w AS (SELECT event_id // 50 AS w, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1)
+SELECT CAST(w AS BIGINT) AS "window", CAST(n AS BIGINT) AS n, round(mean, 4) AS mean FROM w
+"""
+)
+def step_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over runs of 50 steps."""
+    w = F.floor(F.col("event_id") / 50).cast("long")
+    return t(spark, sf_dir, "events").groupBy(w.alias("window")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
