@@ -17,7 +17,7 @@ from lakeloom.llm.media import read_media, store_media
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates
 from lakeloom.llm.quality_crf import QualityModel, score_quality, train_quality
-from lakeloom.llm.token_files import ids_crc32, token_table
+from lakeloom.llm.token_files import token_table
 from lakeloom.llm.warc import WARC_SQL, warc_round_trip
 
 
@@ -45,8 +45,7 @@ def op3_template_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return out.select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+    return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, whole=False)
 
 
 def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

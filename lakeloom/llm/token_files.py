@@ -12,11 +12,14 @@ byte, and all control bytes stand before all data bytes. A file holds documents
     u8[]      control bytes, each document starting a new one
     u8[]      data bytes
 
-``ranks.bin`` beside the files has the id of each rank (u32). Reading is table lookup: a control byte gives four
+``ranks.bin`` beside the files has "LLRANKS1" and the id of each rank (u32). Reading is table lookup: a control byte gives four
 lengths, their running sum the places of the data bytes."""
 
 from __future__ import annotations
 
+import bisect
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import drop_saved, saved, shared_dir, slices
 
-MAGIC = b"LLTOKEN1"
+MAGIC, RANKS = b"LLTOKEN1", b"LLRANKS1"
 #: A file is closed once it has so many ids.
-FILE_IDS = 2_000_000
-#: Words whose ids a task remembers at most.
-MEMO = 600_000
+FILE_IDS = 1_000_000
+#: Words whose ids a task remembers: at most twice so many, of which the half not asked for lately is forgotten.
+MEMO = 450_000
 
+#: A point or comma between an ASCII letter or digit and white space is a pre-token of its own.
+_MARK = re.compile(rb"([.,])(?<=[a-zA-Z0-9][.,])(?=[ \n])")
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
@@ -50,14 +55,36 @@ class WordEncoder:
     token are given to the library whole."""
 
     def __init__(self, path: str, lower: bool = True, memo: int = MEMO) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.lower, self.memo, self.known = lower, memo, {}
+        self.lower, self.memo, self.known, self.older = lower, memo, {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), 1000):  # the library's results are large
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+        return out
+
+    def _letters(self, words: list[bytes]) -> list[bytes]:
+        """The same for words of letters only: each is one pre-token, so in a text of many its ids end where a token ends
+        a word."""
+        out = []
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            else:
+                out += self._library([w.decode() for w in part])
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -69,22 +96,32 @@ class WordEncoder:
                 out[k] = self._library([text])[0]
             else:
                 plain.append(k)
-                words.append((raw.lower() if self.lower else raw).split())
-        known = self.known
-        if len(known) > self.memo:
-            known.clear()
-        missing = set().union(*words) - known.keys()
-        ends, ask = {}, set()
-        for w in missing:
+                words.append(_MARK.sub(rb" \1", raw.lower() if self.lower else raw).split())
+        if len(self.known) > self.memo:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        letters, other, ends = set(), set(), []
+
+        def ask(w: bytes) -> None:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif w.isalpha() or (not w.isascii() and (word := w.decode("utf-8", "surrogatepass")).isalpha() and word.lower().isalpha()):
+                letters.add(w)
+            else:
+                other.add(w)
+
+        for w in set().union(*words) - known.keys():
             stem = w.rstrip(b".,;:!?")
-            if stem and stem != w and stem[-1:].isalpha():  # letters and marks are pre-tokens of their own
-                ends[w] = stem
-                ask.update(x for x in (stem, w[len(stem) :]) if x not in known)
+            if stem is not w and stem != w and stem[-1:].isalpha() and w not in older:
+                ends.append((w, stem))  # letters and marks are pre-tokens of their own
+                for x in (stem, w[len(stem) :]):
+                    if x not in known:
+                        ask(x)
             else:
-                ask.add(w)
-        ask = list(ask)
-        known.update(zip(ask, self._library([w.decode("utf-8", "surrogatepass") for w in ask]), strict=True))
-        for w, stem in ends.items():
+                ask(w)
+        for own, encode in ((list(letters), self._letters), (list(other), lambda own: self._library([w.decode("utf-8", "surrogatepass") for w in own]))):
+            known.update(zip(own, encode(own), strict=True))
+        for w, stem in ends:
             known[w] = known[stem] + known[w[len(stem) :]]
         for k, own in zip(plain, words, strict=True):
             out[k] = b"".join(map(known.__getitem__, own))
@@ -119,15 +156,19 @@ def _counted(batches: Iterator[pa.RecordBatch], wide: str) -> Iterator[pa.Record
 # ---- the code ----------------------------------------------------------------------------------------------------
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of ranks."""
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(control bytes, data bytes) of each of consecutive documents with ``counts`` ranks each."""
     ranks = ranks.astype("<u4")
     length = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    code = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    code[: len(ranks)] = length - 1
-    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]]
-    return control.tobytes(), data.tobytes()
+    groups = -(-counts // 4)
+    shift = 4 * (np.cumsum(groups) - groups) - (np.cumsum(counts) - counts)
+    code = np.zeros(4 * int(groups.sum()), dtype=np.uint8)
+    code[np.arange(len(ranks)) + np.repeat(shift, counts)] = length - 1
+    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[np.cumsum(counts)].tolist()
+    c_ends = np.cumsum(groups).tolist()
+    return [control[a:b] for a, b in zip([0, *c_ends], c_ends, strict=False)], [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -187,34 +228,38 @@ def put_file(uri: str, content: bytes) -> None:
 # ---- Spark jobs --------------------------------------------------------------------------------------------------
 
 
-def _packed(batches: Iterator[pa.RecordBatch], rank_of, wide: str) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], rank_of, cuts: list[int], wide: str) -> Iterator[pa.RecordBatch]:
     ranks = rank_of.value
-    for b in batches:
-        coded = [pack(ranks[np.frombuffer(x.as_buffer(), dtype=wide)]) for x in b.column("ids")]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["id", "n", "control", "data"])
+    for b in slices(batches, "ids"):
+        counts = np.asarray(b.column("n"), dtype=np.int64)
+        raw = np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype=wide)
+        control, data = pack(ranks[raw], counts)
+        part = [0 if i is None else bisect.bisect_left(cuts, i) for i in b.column("id").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column("id"), b.column("n"), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["part", "id", "n", "control", "data"])
 
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    task, k = TaskContext.get().partitionId(), 0
+    """Files of the rows of one or more parts, which come one after the other and in order."""
+    now, k = -1, 0
     rows: list[tuple] = []
     held = 0
 
     def close() -> pa.RecordBatch:
         nonlocal rows, held, k
-        name = f"{task:06d}-{k:06d}.tok"
+        name = f"{now:06d}-{k:06d}.tok"
         put_file(f"{folder}/{name}", file_bytes(*map(list, zip(*rows, strict=True))))
         out = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([held], pa.int64())], ["file", "n"])
         rows, held, k = [], 0, k + 1
         return out
 
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("id", "n", "control", "data")), strict=True):
-            rows.append(row)
-            held += row[1]
-            if held >= FILE_IDS:
+        for part, *row in zip(*(b.column(c).to_pylist() for c in ("part", "id", "n", "control", "data")), strict=True):
+            if rows and (part != now or held >= FILE_IDS):
                 yield close()
+            if part != now:
+                now, k = part, 0
+            rows.append(tuple(row))
+            held += row[1]
     if rows:
         yield close()
 
@@ -235,48 +280,48 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     by_rank = np.array([r.token for r in sorted(counts, key=lambda r: (-r.n, r.token))], dtype="<u4")
     rank_of = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, dtype="<u4")
     rank_of[by_rank] = np.arange(len(by_rank))
-    put_file(f"{folder}/ranks.bin", by_rank.tobytes())
+    put_file(f"{folder}/ranks.bin", RANKS + by_rank.tobytes())
     shared = spark.sparkContext.broadcast(rank_of)
-    packed = tokens.mapInArrow(lambda batches: _packed(batches, shared, wide), "id long, n long, control binary, data binary")
+    # ids are cut into ranges once, from the ids alone: a range partitioner would run the coding twice
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = packed.repartitionByRange(parts, "id").sortWithinPartitions("id", "n", "control", "data")
+    cuts = tokens.select(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    cuts = sorted(set(cuts))
+    packed = tokens.mapInArrow(lambda batches: _packed(batches, shared, cuts, wide), "part int, id long, n long, control binary, data binary")
+    ordered = packed.repartition(parts, "part").sortWithinPartitions("part", "id", "n", "control", "data")
     files = saved(ordered.mapInArrow(lambda batches: _written(batches, folder), "file string, n long"))
     drop_saved(tokens)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def _read(batches: Iterator[pa.RecordBatch], by_rank) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], by_rank, whole: bool) -> Iterator[pa.RecordBatch]:
     table = by_rank.value
     for b in batches:
         for content, start in zip(b.column("content"), b.column("start").to_pylist(), strict=True):
             docs, counts, ranks = read_file(content.as_buffer().to_pybytes())
-            ids = table[ranks]
+            ids = memoryview(table[ranks].tobytes())
             end = np.cumsum(counts)
-            parts = [ids[e - n : e].tobytes() for e, n in zip(end.tolist(), counts.tolist(), strict=True)]
-            arrays = [pa.array(docs, pa.int64()), pa.array(start + end - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "n_tokens", "ids"])
+            parts = [ids[4 * (e - n) : 4 * e] for e, n in zip(end.tolist(), counts.tolist(), strict=True)]
+            own = pa.array(parts, pa.binary()) if whole else pa.array(map(zlib.crc32, parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + end - counts, pa.int64()), pa.array(counts, pa.int64()), own], ["id", "start", "n_tokens", "ids" if whole else "ids_crc32"])
 
 
-def read_token_files(spark: SparkSession, folder: str, files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, start, n_tokens, ids) for each document in the files of ``folder``; ids as little-endian u32."""
+def read_token_files(spark: SparkSession, folder: str, files: DataFrame, id_col: str = "doc_id", whole: bool = True) -> DataFrame:
+    """(id_col, start, n_tokens, ids) for each document in the files of ``folder``; ids as little-endian u32. Without
+    ``whole``, instead of ids ids_crc32, the unsigned crc32 of those bytes."""
     ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").first()[0]
-    shared = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks), dtype="<u4"))
+    shared = spark.sparkContext.broadcast(np.frombuffer(bytes(ranks), dtype="<u4", offset=len(RANKS)))
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder)
     found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     # one row a file of some MB of ids: small beside the contents, which stay where they are read
     starts = files.select("file", "start")
-    return found.join(starts, "file").select("content", "start").mapInArrow(lambda batches: _read(batches, shared), "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    schema = "id long, start long, n_tokens long, " + ("ids binary" if whole else "ids_crc32 long")
+    return found.join(starts, "file").select("content", "start").mapInArrow(lambda batches: _read(batches, shared, whole), schema).withColumnRenamed("id", id_col)
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None, **how) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None, whole: bool = True, **how) -> DataFrame:
     """read_token_files() of what write_token_files() has written (an empty frame where no file was)."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     files = write_token_files(docs, tokenizer, folder, end_id, **how)
-    return read_token_files(spark, folder, files, how.get("id_col", "doc_id"))
-
-
-def ids_crc32(ids: str):
-    """Unsigned crc32 of a binary column."""
-    return F.pandas_udf(lambda x: x.map(zlib.crc32), "long")(ids)
+    return read_token_files(spark, folder, files, how.get("id_col", "doc_id"), whole)

@@ -17,8 +17,10 @@ from lakeloom.llm.token_files import pack, unpack
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=40), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_control_byte_code(docs):
-    coded = [pack(np.array(d, dtype=np.uint32)) for d in docs]
-    got = unpack(*(np.frombuffer(b"".join(c[k] for c in coded), dtype=np.uint8) for k in (0, 1)), np.array([len(d) for d in docs]))
+    counts = np.array([len(d) for d in docs])
+    coded = pack(np.array([x for d in docs for x in d], dtype=np.uint32), counts)
+    assert [len(c) for c in coded[0]] == (-(-counts // 4)).tolist()
+    got = unpack(*(np.frombuffer(b"".join(c), dtype=np.uint8) for c in coded), counts)
     assert got.tolist() == [x for d in docs for x in d]
 
 
