@@ -33,7 +33,7 @@ def json_lines(spark: SparkSession, path: str, schema: str | StructType, mode: s
 def run_logs(spark: SparkSession, root: str, schema: str, name: str = "perf.jsonl") -> DataFrame:
     """Records of all files ``name`` under ``root``, with run_dir: the folder below ``root`` that the file lies in."""
     rows = spark.read.schema(schema).options(recursiveFileLookup="true", pathGlobFilter=name, mode="DROPMALFORMED").json(root)
-    inside = F.element_at(F.split(F.col("_metadata.file_path"), F.concat(F.lit(r"\Q"), F.lit(root.rstrip("/").split(":")[-1].replace("//", "/")), F.lit(r"/\E"))), -1)
+    inside = F.element_at(F.split(F.col("_metadata.file_path"), F.concat(F.lit(r"\Q"), F.lit("/" + root.split(":")[-1].strip("/")), F.lit(r"/\E"))), -1)
     return rows.select(F.regexp_replace(inside, r"/?[^/]*$", "").alias("run_dir"), "*")
 
 
@@ -47,6 +47,6 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def sections(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """One row a text file: what stands under each ``=== NAME ===`` line, null where the file has no such line."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     found = [F.when(F.col("value").rlike(rf"(?m)^=== {n} ===$"), F.trim(F.regexp_extract("value", rf"(?sm)^=== {n} ===$\n?(.*?)\n?(?=^=== |\z)", 1))).alias(n.lower().replace(" ", "_")) for n in names]
     return text.select(F.col("_metadata.file_name").alias("file"), *found)
