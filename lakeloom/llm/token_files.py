@@ -41,6 +41,8 @@ MEMO = 450_000
 
 #: A point or comma between an ASCII letter or digit and white space is a pre-token of its own.
 _MARK = re.compile(rb"([.,])(?<=[a-zA-Z0-9][.,])(?=[ \n])")
+#: A capital before a character from U+0300 on, the first that can compose with a letter before it.
+_COMPOSING = re.compile(rb"[\xcc-\xf4](?<=[A-Z].)", re.S)
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 
 
@@ -52,7 +54,9 @@ class WordEncoder:
 
     Pre-tokens of the vocabularies this is for never cross white space, and their normalizer works on each word by
     itself (``lower``: and lower-cases it), so a text's ids are those of its words. Texts that may hold a special
-    token are given to the library whole."""
+    token are given to the library whole. A-Z is lower-cased beforehand, so that fewer words are asked for, but not in
+    words where a capital may compose with what follows: the library composes first, and some marks have no
+    composed capital."""
 
     def __init__(self, path: str, lower: bool = True, memo: int = MEMO) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -92,11 +96,15 @@ class WordEncoder:
         plain = []
         for k, text in enumerate(texts):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            if any(s in raw for s in self.special):
+            low = raw.lower() if self.lower else raw
+            if any(s in low or s in raw for s in self.special):  # what is special only in small letters is not so here
                 out[k] = self._library([text])[0]
+                continue
+            plain.append(k)
+            if self.lower and _COMPOSING.search(raw):
+                words.append([w if _COMPOSING.search(w) else w.lower() for w in _MARK.sub(rb" \1", raw).split()])
             else:
-                plain.append(k)
-                words.append(_MARK.sub(rb" \1", raw.lower() if self.lower else raw).split())
+                words.append(_MARK.sub(rb" \1", low).split())
         if len(self.known) > self.memo:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older

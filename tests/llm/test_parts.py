@@ -1,17 +1,19 @@
 """The parts of the operators that run inside tasks."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from lakeloom.llm import webp
 from lakeloom.llm.byte_bpe import Encoder, PerfectHash
 from lakeloom.llm.dom import consistent
 from lakeloom.llm.license_scan import Template, words_of
 from lakeloom.llm.near_dedup import BANDS, ROWS, _Words, estimate, shingle_sets, signature
-from lakeloom.llm.token_files import pack, unpack
+from lakeloom.llm.token_files import WordEncoder, pack, unpack
 
 
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=40), min_size=1, max_size=5))
@@ -24,6 +26,31 @@ def test_control_byte_code(docs):
     assert got.tolist() == [x for d in docs for x in d]
 
 
+_ENCODER = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+_LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _same_as_library(texts):
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in _ENCODER(texts)]
+    assert got == [_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_composed_before_they_are_lower_cased():
+    """Capitals and marks that only the small letter composes with, also apart by another mark or before a point."""
+    marked = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u0323\u030c", "A\u030a", "\u212a\u0331"]
+    _same_as_library([f"x {w}a y" for w in marked] + [f"X{w}. Y{w}, {w} Große ÇA" for w in marked])
+
+
+def test_special_tokens_are_not_lower_cased():
+    _same_as_library(["x <|STARTOFTEXT|> y", "x <|startoftext|> J\u030c", "<|EndOfText|><|endoftext|>", "a<|ENDOFTEXT|>."])
+
+
+@given(st.lists(st.text(alphabet="JHTWYAßéİΣσſK.,'\u030c\u0331\u0308\u030a\u0323\u0345 \n\u00a01日가", max_size=25), min_size=1, max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_words_against_the_library(texts):
+    _same_as_library(texts)
+
+
 @given(st.sets(st.binary(max_size=6), max_size=200))
 @settings(max_examples=40, deadline=None)
 def test_perfect_hash(keys):
