@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.byte_bpe import bpe_encode
 from lakeloom.llm.common import saved, table
 from lakeloom.llm.mixing import mixed_documents
-from lakeloom.llm.near_dedup import near_duplicates
+from lakeloom.llm.near_dedup import without_near_duplicates
 from lakeloom.llm.quality_crf import score_quality
 from lakeloom.llm.queries import quality_model
 
@@ -25,13 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), that with the
-    smallest id; rows that repeat an id are one group, of which the first by text, source, lang and length stays.
-    Rows with a null id stay."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    once = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    return once.select("doc_id", "row.*").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8 or more), that with the smallest id.
+    Rows of one id with unlike texts are no duplicates; rows without words or with a null id stay."""
+    return without_near_duplicates(docs, words=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

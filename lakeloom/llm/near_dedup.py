@@ -20,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import components, drop_saved, saved, slices
@@ -119,9 +119,14 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _SIGNED = "id long, n long, cls binary, bands array<long>, sig binary"
+#: Name of the column with a text's digest.
+_DIGEST = "lakeloom text digest"
+#: The bytes between words.
+_BLANK = " \t\n\x0b\x0c\r"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """A column digest, where there is one, is handed on."""
     hasher = _Words()
     for b in slices(batches, "text"):
         sets = shingle_sets(b.column("text").to_pylist(), words, hasher)
@@ -133,9 +138,10 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             keys, packed = signature(s)
             cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             bands.append(keys), sig.append(packed.tobytes())
+        handed = [c for c in ("digest",) if c in b.schema.names]
         yield pa.RecordBatch.from_arrays(
-            [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-            ["id", "n", "cls", "bands", "sig"],
+            [b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary()), *map(b.column, handed)],
+            ["id", "n", "cls", "bands", "sig", *handed],
         )
 
 
@@ -216,9 +222,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty result. Other columns of ``docs`` are not read, whatever their names."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = saved(source.mapInArrow(partial(_signed, words=words), _SIGNED))
+    least = _labelled(source, signed, words, percent, F.min("id").alias("least"))
+    smallest = least.groupBy("label").agg(F.min("least").alias("component"))
+    named = least.join(smallest, "label").select("cls", "component")
+    rows = signed.select("id", "n", "cls").join(named, "cls", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of each component, linked as in ``near_duplicates``.
+
+    Rows are decided on by their texts, not by their ids: of a component the row with the smallest id stays; of
+    several with that id, that whose text's SHA-256 is the smallest, and of those with the same text the first by the other
+    columns. Rows of one id with unlike texts are in components of their own, so each has its own row. Null or
+    wordless texts are linked with nothing and stay, as do rows with a null id."""
+    key = F.sha2(F.col(text_col).cast("string").cast("binary"), 256)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("digest"))
+    signed = saved(source.mapInArrow(partial(_signed, words=words), f"{_SIGNED}, digest string"))
+    least = _labelled(source.select("id", "text"), signed, words, percent, F.min("id").alias("least"), F.min(F.struct("id", "digest")).alias("first"))
+    first = least.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"), F.col("first.digest").alias(_DIGEST))
+    alone = F.col(id_col).isNull() | F.coalesce(F.btrim(F.col(text_col).cast("string"), F.lit(_BLANK)) == "", F.lit(True))
+    keyed = docs.where(~alone).withColumn(_DIGEST, key)
+    bearing = keyed.join(first, (keyed[id_col].cast("long") == first["id"]) & (keyed[_DIGEST] == first[_DIGEST]), "left_semi")
+    rest = [c for c in docs.columns if c != id_col]
+    once = bearing.groupBy(id_col, _DIGEST).agg(F.min(F.struct(*rest)).alias("row"))
+    return once.select(id_col, "row.*").select(docs.columns).unionByName(docs.where(alone))
+
+
+def _labelled(source: DataFrame, signed: DataFrame, words: int, percent: int, *of_class: Column) -> DataFrame:
+    """(cls, of_class, label) of each class: rows of one component have one label. of_class: aggregates of the class's
+    rows, of which one is named least, its smallest id."""
     classes = saved(
-        signed.where("id is not null and cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        signed.where("id is not null and cls is not null").groupBy("cls").agg(*of_class, F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
+    own = [c for c in classes.columns if c not in ("n", "bands", "sig")]
     keys = classes.select("cls", F.explode("bands").alias("band"))
     crowded = keys.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = saved(keys.join(crowded, "band"))
@@ -265,15 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = saved(screened.join(sets, "cls").groupBy("band", "xb", "yb").applyInPandas(partial(_confirm, percent=percent), "a binary, b binary").distinct())
     final = components(links.union(links_few).union(more))
 
-    least = saved(
-        classes.select("cls", "least").join(final.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("label", "cls").alias("label"))
-    )
-    smallest = least.groupBy("label").agg(F.min("least").alias("component"))
-    named = least.join(smallest, "label").select("cls", "component")
+    out = saved(classes.select(own).join(final.withColumnRenamed("node", "cls"), "cls", "left").select(*own, F.coalesce("label", "cls").alias("label")))
     drop_saved(members, hubs, sets, links, links_few, label, placed, apart, open_, screened, more, classes, final)
-    rows = signed.select("id", "n", "cls").join(named, "cls", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out
 
 
 def _near(threshold: float):

@@ -68,6 +68,22 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r.doc_id for r in after.collect()) == [i for i in ids if root(i) == i]
 
 
+def test_rows_of_one_id_are_decided_on_by_their_texts(spark):
+    a, b, x = (" ".join(f"{c}{k}" for k in range(60)) for c in "abx")
+    near, nearer = x + " more", "less " + x
+    rows = [
+        (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, None, None, None, None), (5, near, "en", "s", 1), (3, x, "en", "s", 1),  # unlike texts, a null one and a near copy of another id
+        (7, "c " + a, "en", "s", 1), (6, b.upper(), "en", "s", 1),  # near and equal copies
+        (None, a, "en", "s", 1), (8, " \t\x0b", "en", "s", 1), (8, "", "en", "s", 1),  # no part in it
+        (3, x, "en", "s", 1), (3, x, "de", "s", 1), (3, nearer, "en", "s", 1),  # of one id: copies, another column, a near copy
+    ]
+    docs = spark.createDataFrame(rows, table(spark, SF, "documents").schema).repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    of_three = [r for r in got if r[0] == 3]
+    assert len(of_three) == 1 and of_three[0] in [(3, x, "de", "s", 1), (3, nearer, "en", "s", 1)]
+    assert sorted((r for r in got if r[0] != 3), key=str) == sorted([rows[0], rows[1], rows[2], *rows[7:10]], key=str)
+
+
 def test_mix_takes_what_the_operator_says(stages):
     _, before, after = stages[2]
     due = {r.doc_id: r.copies for r in mix_sources(before).collect() if r.copies}
