@@ -10,11 +10,18 @@ import numpy as np
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript noembed noframes iframe svg math canvas object audio video title head select textarea button datalist".split())
-RAW = frozenset("script style noscript noembed noframes iframe title textarea xmp template svg math select".split())
+RAW = frozenset("script style noembed noframes iframe title textarea xmp".split())
+#: Elements that make no nodes and no block bounds, nor does what they hold.
+HIDDEN = frozenset("noscript template svg math select".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements in svg and math that hold HTML again.
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+#: Start tags that end svg and math: those of the HTML standard, and others that name no part of a drawing or formula.
+ENDS_FOREIGN = CLOSES_P | frozenset("b big body br code dd dt em embed head i img li listing meta nobr ruby s small span strong strike sub sup tt u var tr td th tbody thead tfoot".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
@@ -43,6 +50,25 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_BARE_VALUE = re.compile(r"=\s*[^\s\"'][^\s]*\Z")
+
+
+def _self_closing(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of a value without quotes."""
+    return attributes.endswith("/") and not _BARE_VALUE.search(_QUOTED.sub('""', attributes))
+
+
+def _unclosed(source: str, name: str) -> set[int]:
+    """Where the start tags stand that have no end tag."""
+    open_: list[int] = []
+    passed = r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>])(?![^>]*/>).*?(?:</\1(?=[\s/>])|\Z)"
+    for m in re.finditer(rf"{passed}|<(/?){name}(?=[\s/>])", source, re.I | re.S):
+        if m[2] == "":
+            open_.append(m.start())
+        elif m[2] and open_:
+            open_.pop()
+    return set(open_)
 
 
 class Page:
@@ -55,7 +81,10 @@ class Page:
         self.parent, self.tag, self.groups, self.chars, self.linked, self.stops = [-1], [_TAG["html"]], [0], [0], [0], [0]
         self.parts: list[tuple[int, str | None]] = []
         names, nodes = ["html"], [0]  # open elements
-        links, silent, at = 0, 0, 0
+        foreign = [False]  # by open element: whether what stands in it is SVG or MathML
+        fences: list[int] = []  # open elements beyond which no end tag but their own reaches
+        lost: dict[str, set[int]] = {}
+        links, silent, hidden, open_select, at = 0, 0, 0, 0, 0
         find = _TOKEN.search
 
         def text(raw: str) -> None:
@@ -71,13 +100,19 @@ class Page:
             self.stops[node] += raw.count(".") + raw.count(",")
 
         def close(down_to: int) -> None:
-            nonlocal links, silent
+            nonlocal links, silent, hidden, open_select
             while len(names) > down_to:
                 name, node = names.pop(), nodes.pop()
+                foreign.pop()
                 links -= name == "a"
                 silent -= name in SILENT
-                if name not in INLINE:
+                if name not in INLINE and not hidden:
                     self.parts.append((node, None))
+                hidden -= name in HIDDEN
+                if fences and fences[-1] == len(names):
+                    fences.pop()
+                if open_select == len(names):
+                    open_select = 0
 
         while True:
             m = find(source, at)
@@ -94,13 +129,25 @@ class Page:
                 if name in names[1:]:
                     k = len(names) - 1 - names[::-1].index(name)
                     # an inline end tag closes nothing beyond the block it stands in
-                    if name not in INLINE or all(x in INLINE for x in names[k + 1 :]):
+                    if not (fences and k < fences[-1]) and (name not in INLINE or all(x in INLINE or f or x in FOREIGN for x, f in zip(names[k + 1 :], foreign[k:], strict=False))):
                         close(k)
-                elif name == "p":
+                elif name == "p" and not hidden:
                     self.parts.append((nodes[-1], None))
                 continue
+            if foreign[-1]:
+                if name in ENDS_FOREIGN:
+                    while foreign[-1]:
+                        close(len(names) - 1)
+                elif _self_closing(m[3]):
+                    continue
+            if name in FOREIGN and _self_closing(m[3]):
+                continue
+            if open_select and (name in CLOSES_P or name in ("input", "textarea", "select")) and name != "hr":
+                close(open_select)
             if name in VOID:
-                if name == "br":
+                if hidden:
+                    pass
+                elif name == "br":
                     self.parts.append((nodes[-1], " "))
                 elif name == "hr":
                     self.parts.append((nodes[-1], None))
@@ -110,7 +157,7 @@ class Page:
             if name == "body":
                 while "head" in names:
                     close(names.index("head"))
-            if name in RAW:
+            if name in RAW and not foreign[-1]:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
@@ -124,8 +171,17 @@ class Page:
                         close(k)
                         if name != "tr":
                             break
-                    elif names[k] in FENCE[name]:
+                    elif names[k] in FENCE[name] or names[k] in HIDDEN:
                         break
+            if name in HIDDEN and name not in FOREIGN and not foreign[-1]:
+                if name not in lost:
+                    lost[name] = _unclosed(source, name)
+                if m.start() not in lost[name]:
+                    fences.append(len(names))
+                elif name == "select":
+                    open_select = len(names)
+                else:
+                    continue  # else the rest of the page would be in it
             attributes = m[3]
             groups = 0
             if attributes and not attributes.isspace():
@@ -139,7 +195,9 @@ class Page:
             block = name not in INLINE
             links += name == "a"
             silent += name in SILENT
-            if block or groups:
+            hidden += name in HIDDEN
+            foreign.append(name in FOREIGN or (foreign[-1] and name not in HOLDS_HTML))
+            if (block or groups) and not hidden:
                 node = len(self.parent)
                 for column, value in ((self.parent, nodes[-1]), (self.tag, _TAG.get(name, -1)), (self.groups, groups), (self.chars, 0), (self.linked, 0), (self.stops, 0)):
                     column.append(value)
@@ -147,7 +205,7 @@ class Page:
                 node = nodes[-1]
             names.append(name)
             nodes.append(node)
-            if block:
+            if block and not hidden:
                 self.parts.append((node, None))
         close(1)
 
