@@ -31,7 +31,8 @@ _LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _same_as_library(texts):
-    got = [np.frombuffer(x, dtype="<u4").tolist() for x in _ENCODER(texts)]
+    ids, counts = _ENCODER([t.encode() for t in texts])
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
     assert got == [_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -51,6 +52,16 @@ def test_words_against_the_library(texts):
     _same_as_library(texts)
 
 
+@given(st.lists(st.text(alphabet="abzAÉé9½.,'-*%_s<|> \n\t\u2019\u00e7\u0416", max_size=30), min_size=1, max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_ends_of_words_against_the_library(texts):
+    _same_as_library(texts)
+
+
+def test_texts_without_words_and_long_ones_against_the_library():
+    _same_as_library(["", " \n", "a" * 5000 + "." + "é" * 300 + "...", "it's. don't, 'tis' x's! y'll?", "<|endoftext|>", "", "end"])
+
+
 @given(st.sets(st.binary(max_size=6), max_size=200))
 @settings(max_examples=40, deadline=None)
 def test_perfect_hash(keys):
