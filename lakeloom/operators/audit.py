@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +29,12 @@ def merged(df: DataFrame, key: list[str], source: str, status: str, order: str)
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, rows, nulls, blanks, distinct, duplicates: a row for each column, in one pass over each."""
-
-    def one(c: str) -> DataFrame:
-        v = F.col(c).cast("string")
-        counts = df.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        none, blank = F.col("v").isNull(), F.trim("v") == ""
-        total = lambda w: F.coalesce(F.sum(F.when(w, F.col("n"))), F.lit(0)).cast("long")
-        return counts.agg(F.lit(c).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), total(none).alias("nulls"), total(blank).alias("blanks"), F.count("v").alias("distinct"), (total(~none) - F.count("v")).alias("duplicates"))
-
-    return reduce(DataFrame.unionByName, map(one, columns))
+    """column, rows, nulls, blanks, distinct, duplicates: a row for each column, in one scan and one shuffle."""
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns))
+    counts = df.select(F.explode(each).alias("c")).groupBy("c.column", "c.v").agg(F.count(F.lit(1)).alias("n"))
+    none, blank = F.col("v").isNull(), F.trim("v") == ""
+    total = lambda w: F.coalesce(F.sum(F.when(w, F.col("n"))), F.lit(0)).cast("long")
+    return counts.groupBy("column").agg(F.sum("n").alias("rows"), total(none).alias("nulls"), total(blank).alias("blanks"), F.count("v").alias("distinct"), (total(~none) - F.count("v")).alias("duplicates"))
 
 
 def composition(df: DataFrame, index: str, window: int, source: str, top: int | None = None) -> DataFrame:
@@ -58,14 +52,23 @@ def matched_both_ways(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return joined.where("_a is null or _b is null").select(key, F.when(F.col("_b").isNull(), "left").otherwise("right").alias("side"))
 
 
-def fingerprint(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
+def fingerprint(df: DataFrame, columns: list[str], digits: int | None = None, bucket_rows: int = 4096) -> DataFrame:
     """One row: a sha-256 that depends on the rows' values and not on their order, and the number of rows.
 
-    Row digests are hashed in sorted order within buckets by their first ``digits`` digits, and the buckets' digests in
-    order; with 4 digits a bucket of ten billion rows' table has some 150,000 digests."""
-    fields = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    rows = df.select(F.sha2(fields.cast("binary"), 256).alias("h"))
+    Row digests are hashed in sorted order within buckets of about ``bucket_rows`` rows, by their first digits, and the
+    buckets' digests in the same way, until one is left: ``digits``, or so many that no bucket is large.
+    Equal rows are one digest with their number. A null is told from an empty text."""
+    fields = F.concat_ws("\u001f", *(F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in columns))
+    level = df.select(F.sha2(fields.cast("binary"), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rows, distinct = level.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if digits is None:
+        digits = next(k for k in range(64) if distinct <= bucket_rows * 16**k)
+    level = level.select(F.substring("h", 1, digits).alias("b"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("h"))
     joined = lambda c: F.sha2(F.array_join(c, ",").cast("binary"), 256)
-    buckets = rows.groupBy(F.substring("h", 1, digits).alias("b")).agg(joined(F.array_sort(F.collect_list("h"))).alias("h"), F.count(F.lit(1)).alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("b", "h")))["h"]
-    return buckets.agg(joined(ordered).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    while True:
+        level = level.groupBy("b").agg(joined(F.array_sort(F.collect_list(F.concat_ws("=", "b", "h")))).alias("h"))
+        if digits == 0:
+            break
+        digits = max(0, digits - 3)
+        level = level.select(F.substring("b", 1, digits).alias("b"), "h")
+    return level.groupBy().agg(joined(F.collect_list("h")).alias("fingerprint"), F.lit(rows).cast("long").alias("rows"))  # one digest

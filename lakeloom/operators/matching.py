@@ -16,9 +16,11 @@ def by_path(rows: DataFrame, path: str, files: DataFrame, file: str, value: str)
     Adds how: path, name or none. Two equi-joins; rows with a null path match nothing."""
     exact = files.groupBy(F.col(file).alias(path)).agg(F.min(value).alias("_exact"), F.lit(True).alias("_there"))
     named = files.groupBy(base_name(F.col(file)).alias("_name")).agg(F.min(F.struct(file, value)).alias("_first"))
-    out = rows.join(exact, path, "left").withColumn("_name", F.when(F.col("_there").isNull(), base_name(F.col(path)))).join(named, "_name", "left")
-    how = F.when(F.col("_there").isNotNull(), "path").when(F.col("_first").isNotNull(), "name").otherwise("none")
-    return out.withColumn(value, F.coalesce("_exact", f"_first.{value}")).withColumn("how", how).drop("_exact", "_there", "_name", "_first")
+    first = rows.join(exact, path, "left")
+    # rows that are matched or have no path stay out of the second join: they would all be dealt to its null key
+    done = first.where(F.col("_there").isNotNull() | F.col(path).isNull()).select(*rows.columns, F.col("_exact").alias(value), F.when(F.col("_there"), "path").otherwise("none").alias("how"))
+    rest = first.where(F.col("_there").isNull() & F.col(path).isNotNull()).withColumn("_name", base_name(F.col(path))).join(named, "_name", "left")
+    return done.unionByName(rest.select(*rows.columns, F.col(f"_first.{value}").alias(value), F.when(F.col("_first").isNotNull(), "name").otherwise("none").alias("how")))
 
 
 def resolved(rows: DataFrame, found: DataFrame, key: str, value: str, most: int) -> DataFrame:

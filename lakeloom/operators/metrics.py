@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
+from lakeloom.operators.scoring import shared_grams
 
 
 def per_label(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -39,9 +40,10 @@ def most_frequent(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
 
 
 def advantage(df: DataFrame, by: str, reward: str, name: str = "advantage") -> DataFrame:
-    """Adds (reward - mean) / (population deviation + 1e-8) within the group."""
-    every = Window.partitionBy(by)
-    return df.withColumn(name, (F.col(reward) - F.avg(reward).over(every)) / (F.stddev_pop(reward).over(every) + F.lit(1e-8)))
+    """Adds (reward - mean) / (population deviation + 1e-8) within the group: a row a group is joined back."""
+    per = df.groupBy(F.col(by).alias("_by")).agg(F.avg(reward).alias("_mean"), F.stddev_pop(reward).alias("_std"))
+    out = df.join(per, F.col(by).eqNullSafe(F.col("_by")))
+    return out.withColumn(name, (F.col(reward) - F.col("_mean")) / (F.col("_std") + F.lit(1e-8))).drop("_by", "_mean", "_std")
 
 
 def clustered_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
@@ -71,28 +73,20 @@ def clustered_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 10
     return whole.join(means.agg(low))
 
 
-def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, same: how many elements of the bags ``x`` and ``y`` agree, each counted as often as both have it."""
-    side = lambda c: rows.select(*keys, F.explode(c).alias("w")).groupBy(*keys, "w").agg(F.count(F.lit(1)).alias(f"n{c}"))
-    return side("x").join(side("y"), [*keys, "w"]).groupBy(*keys).agg(F.sum(F.least("nx", "ny")).alias("same"))
-
-
 def token_f1(df: DataFrame, keys: list[str], prediction: Column, truth: Column) -> DataFrame:
-    """keys, f1: F1 of the bags of normalised words; 1 where both are empty, 0 where one is. Keys name a row."""
+    """keys, f1: F1 of the bags of normalised words; 1 where both are empty, 0 where one is. Nothing is shuffled."""
     rows = df.select(*keys, T.words(T.squad_normal(prediction)).alias("x"), T.words(T.squad_normal(truth)).alias("y"))
-    rows = rows.join(_shared(rows, keys), keys, "left")
-    x, y, same = F.size("x"), F.size("y"), F.coalesce("same", F.lit(0))
+    rows = rows.select(*keys, F.size("x").alias("x"), F.size("y").alias("y"), shared_grams(F.col("x"), F.col("y"))[0].alias("same"))
+    x, y, same = F.col("x"), F.col("y"), F.col("same")
     return rows.select(*keys, F.when((x == 0) | (y == 0), (x == y).cast("double")).when(same == 0, 0.0).otherwise(2.0 * same / (x + y)).alias("f1"))
 
 
 def bleu(df: DataFrame, keys: list[str], prediction: Column, truth: Column, order: int = 4) -> DataFrame:
     """keys, bleu: sentence BLEU up to ``order`` words. A count of zero is taken as 0.1, short predictions are
-    penalised; 0 where the texts share no word. Keys name a row."""
-    rows = df.select(*keys, T.words(F.lower(prediction)).alias("p"), T.words(F.lower(truth)).alias("t"))
-    grams = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), T.ngrams(F.col("p"), n).alias("x"), T.ngrams(F.col("t"), n).alias("y")) for n in range(1, order + 1))))
-    rows = rows.select(*keys, F.size("p").alias("np"), F.size("t").alias("nt"), grams.alias("g")).select(*keys, "np", "nt", "g.*")
-    rows = rows.join(_shared(rows, [*keys, "n"]), [*keys, "n"], "left").withColumn("same", F.coalesce("same", F.lit(0)))
-    log = F.log(F.when(F.col("same") == 0, 0.1).otherwise(F.col("same").cast("double")) / F.greatest(F.size("x"), F.lit(1)))
-    out = rows.groupBy(*keys).agg(F.max("np").alias("np"), F.max("nt").alias("nt"), F.sum(log).alias("logs"), F.max(F.when(F.col("n") == 1, F.col("same"))).alias("words"))
+    penalised; 0 where the texts share no word. Nothing is shuffled."""
+    p, t = T.words(F.lower(prediction)), T.words(F.lower(truth))
+    rows = df.select(*keys, F.size(p).alias("np"), F.size(t).alias("nt"), shared_grams(p, t, order).alias("same"))
+    log = lambda n: F.log(F.when(F.col("same")[n] == 0, 0.1).otherwise(F.col("same")[n].cast("double")) / F.greatest(F.col("np") - n, F.lit(1)))
+    logs = sum((log(n) for n in range(order)), F.lit(0.0))
     brevity = F.when(F.col("np") > F.col("nt"), 0.0).otherwise(1 - F.col("nt") / F.col("np"))
-    return out.select(*keys, F.when(F.col("words") == 0, 0.0).otherwise(F.exp(F.col("logs") / order + brevity)).alias("bleu"))
+    return rows.select(*keys, F.when(F.col("same")[0] == 0, 0.0).otherwise(F.exp(logs / order + brevity)).alias("bleu"))

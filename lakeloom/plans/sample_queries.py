@@ -193,8 +193,9 @@ def manifest_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH d AS (SELECT sha256(concat(doc_id, chr(31), coalesce(lang, ''), chr(31), coalesce(source, ''))) AS h FROM documents), b AS (SELECT left(h, 2) AS b, sha256(string_agg(h, ',' ORDER BY h)) AS h, count(*) AS n FROM d GROUP BY 1)
-SELECT sha256(string_agg(h, ',' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM b
+WITH d AS (SELECT sha256(concat('+', doc_id, chr(31), coalesce('+' || lang, '-'), chr(31), coalesce('+' || source, '-'))) AS h FROM documents),
+c AS (SELECT left(h, 2) AS b, h || ':' || count(*) AS h, count(*) AS n FROM d GROUP BY d.h), b AS (SELECT sha256(string_agg(b || '=' || h, ',' ORDER BY b || '=' || h)) AS h, sum(n) AS n FROM c GROUP BY b)
+SELECT sha256(sha256(string_agg('=' || h, ',' ORDER BY h))) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM b
 """
 )
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,9 +38,12 @@ def run_logs(spark: SparkSession, root: str, schema: str, name: str = "perf.json
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sequence): the first word of each header and the lines below it, joined, in upper case."""
-    record = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    head = F.regexp_extract("value", r"^\s*(\S*)", 1)
+    """(name, sequence): the first word of each header and the lines below it, joined, in upper case.
+
+    A record begins at a ``>`` at the start of a line; one elsewhere is part of its line. A record is one row."""
+    lines = spark.read.option("lineSep", "\n>").text(path).where("trim(value) <> ''")
+    record = lines.select(F.regexp_replace("value", r"^>", "").alias("value"))
+    head = F.regexp_extract("value", r"^[ \t]*(\S*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")
     return record.select(head.alias("name"), F.upper(body).alias("sequence"))
 
