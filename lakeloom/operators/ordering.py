@@ -5,38 +5,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a global order is cut into.
-RANGES = 64
-
-
-def with_index(df: DataFrame, *order: str, name: str = "idx", ranges: int = RANGES) -> DataFrame:
-    """``df`` with the place (from 0) of each row in the order of the columns ``order``; the first must be a number.
-
-    The first column's approximate quantiles cut the rows into ranges; each range is ordered by itself and begins
-    where the rows of the ranges before it end. The driver holds one number a range. Nulls come first."""
-    key = order[0]
-    at = [k / ranges for k in range(1, ranges)]
-    cuts = df.select(F.percentile_approx(F.col(key).cast("double"), at, 10_000)).first()[0] or []
-    return _indexed(df, F.col(key).cast("double"), sorted(set(cuts)), order, name)
+#: Ranges that a group's order is cut into; at least and at most those of a global order; those of a range that ties
+#: have left too large.
+RANGES, LEAST_RANGES, MOST_RANGES, TIE_RANGES = 64, 8, 4096, 64
+#: Cuts that are looked through one by one; a longer list is first narrowed to so many.
+STEP = 64
+#: Rows that a range is to have; one of no more is never cut again.
+RANGE_ROWS = 500_000
+
+
+def with_index(df: DataFrame, *order: str, name: str = "idx", ranges: int | None = None) -> DataFrame:
+    """``df`` with the place (from 0) of each row in the order of the columns ``order``.
+
+    Ranges are as many as the rows ask for, if their number is not given. The first column's approximate quantiles cut the rows into ranges; a range that one value of it has made too large
+    is cut by the next column, and so on. Each range is ordered by itself and begins where the rows before it end. The
+    driver holds one number a range. Nulls come first."""
+    values = _numbers(order, dict(df.dtypes))
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, df.count() // RANGE_ROWS))
+    cuts = df.select(F.percentile_approx(values[0], [k / ranges for k in range(1, ranges)], max(10_000, 25 * ranges))).first()[0] or []
+    placed = df.withColumn("_part", F.when(values[0].isNull(), 0).otherwise(1 + _below(sorted(set(cuts)), values[0])).cast("long"))
+    counts = _counts(placed)
+    limit = max(RANGE_ROWS, 4 * sum(counts.values()) // ranges)
+    spark = df.sparkSession
+    for value, following in zip(values, values[1:], strict=False):
+        large = [(p,) for p, n in counts.items() if n > limit]
+        if not large:
+            break
+        # a large range is mostly one value, so its median is that value; rows on either side of it keep their order
+        of = F.broadcast(spark.createDataFrame(large, "_part long"))
+        tie = placed.join(of, "_part").groupBy("_part").agg(F.percentile_approx(value, 0.5, 10_000).alias("_tie"))
+        inside = placed.join(F.broadcast(tie), "_part").where(value.eqNullSafe(F.col("_tie")))
+        own = inside.groupBy("_part").agg(F.percentile_approx(following, [k / TIE_RANGES for k in range(1, TIE_RANGES)], 10_000).alias("_cuts"))
+        marks = spark.createDataFrame(tie.join(own, "_part", "left").select("_part", "_tie", "_cuts").collect(), "_part long, _tie double, _cuts array<double>")
+        among = 1 + F.when(following.isNull(), 0).otherwise(1 + F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < following)))
+        sub = F.when(value.eqNullSafe(F.col("_tie")), among).when(F.col("_tie").isNull() | (value > F.col("_tie")), TIE_RANGES + 2).otherwise(0)
+        wide = F.col("_part") * (TIE_RANGES + 3)
+        known = marks.withColumn("_large", F.lit(True))  # a row a large range
+        placed = placed.join(F.broadcast(known), "_part", "left").withColumn("_part", F.when(F.col("_large"), wide + sub).otherwise(wide)).drop("_tie", "_cuts", "_large")
+        counts = _counts(placed)
+    return _indexed(placed, counts, order, name)
 
 
 def with_hash_index(df: DataFrame, key: str, *ties: str, name: str = "idx") -> DataFrame:
-    """The same in the order of a hexadecimal digest: its first two digits are the range."""
-    part = F.conv(F.substring(key, 1, 2), 16, 10).cast("double")
-    return _indexed(df, part, [k - 0.5 for k in range(1, 256)], (key, *ties), name)
-
-
-def _indexed(df: DataFrame, value: Column, cuts: list[float], order: tuple[str, ...], name: str) -> DataFrame:
-    part = F.when(value.isNull(), -1).otherwise(F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < value)) if cuts else F.lit(0))
-    placed = df.withColumn("_part", part)
-    counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """The same in the order of a hexadecimal digest: its first three digits are the range."""
+    placed = df.withColumn("_part", F.coalesce(F.conv(F.substring(key, 1, 3), 16, 10).cast("long"), F.lit(-1)))
+    return _indexed(placed, _counts(placed), (key, *ties), name)
+
+
+def _numbers(order: tuple[str, ...], kinds: dict[str, str]) -> list[Column]:
+    """Numbers whose order, one after the other, is that of the columns as far as they go: a text gives its first 24
+    bytes, six at a time, and what comes after it none, as texts may differ further on."""
+    out: list[Column] = []
+    for name in order:
+        c, kind = F.col(name), kinds[name]
+        if kind in ("string", "binary"):
+            raw = F.encode(c, "UTF-8") if kind == "string" else c
+            return out + [F.conv(F.rpad(F.hex(F.substring(raw, 1 + 6 * k, 6)), 12, "0"), 16, 10).cast("double") for k in range(4)]
+        number = (c.cast("timestamp") if kind == "date" else c).cast("double")
+        out.append(number)
+        if kind == "bigint":  # what a double cannot hold of it
+            out.append(F.coalesce((c - number.try_cast("bigint")).cast("double"), F.lit(0.0)))
+        elif kind.startswith("decimal"):
+            return out
+    return out
+
+
+def _below(cuts: list[float], value: Column) -> Column:
+    """How many of the ordered cuts lie below the value."""
+    if not cuts:
+        return F.lit(0)
+    under = lambda xs: F.size(F.filter(xs, lambda c: c < value))
+    array = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
+    if len(cuts) <= STEP:
+        return under(array(cuts))
+    runs = [cuts[k : k + STEP] for k in range(0, len(cuts), STEP)]
+    run = F.least(under(array([r[-1] for r in runs])), F.lit(len(runs) - 1))
+    return run * STEP + under(F.array(*map(array, runs))[run])
+
+
+def _counts(placed: DataFrame) -> dict[int, int]:
+    return {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _indexed(placed: DataFrame, counts: dict[int, int], order: tuple[str, ...], name: str) -> DataFrame:
     before, offsets = 0, []
     for p in sorted(counts):
-        offsets += [F.lit(p), F.lit(before).cast("long")]
+        offsets.append((p, before))
         before += counts[p]
-    offset = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0).cast("long")
+    starts = F.broadcast(placed.sparkSession.createDataFrame(offsets, "_part long, _start long"))  # a row a range
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*(F.col(c).asc_nulls_first() for c in order))) - 1
-    return placed.withColumn(name, (rank + offset).cast("long")).drop("_part")
+    return placed.withColumn("_rank", rank).join(starts, "_part").withColumn(name, (F.col("_rank") + F.col("_start")).cast("long")).drop("_part", "_rank", "_start")
 
 
 def md5_share(value: Column) -> Column:

@@ -487,9 +487,9 @@ def full_join_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.matched_both_ways(t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
 def anti_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return t(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_nationkey")
 
 
