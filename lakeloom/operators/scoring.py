@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from lakeloom.functions import text as T
 from lakeloom.operators import ordering, sampling
@@ -18,7 +19,7 @@ def _share(condition: Column) -> Column:
     return F.coalesce(F.avg(F.coalesce(condition.cast("double"), F.lit(0.0))), F.lit(0.0))
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))  # a type by name would need a session
 def _shared_grams(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """For word lists x and y: how many n-grams the two bags share, for n = 1..order. Linear in the words."""
     from collections import Counter
