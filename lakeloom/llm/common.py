@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only by local sessions that name no shared folder, as in tests.
 DEFAULT_SHARED = "file:///tmp/checkpoints/lakeloom"
 #: Characters of text that a Python task works on at once.
 SLICE_CHARS = 2_000_000
@@ -20,8 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder's path under spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    """A fresh folder's path under spark.checkpoint.dir, which a cluster must name: executors share no local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = DEFAULT_SHARED
     return f"{base.rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
 
 
@@ -62,6 +67,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
             yield b.slice(int(lo), int(hi - lo))
 
 
+#: Shares that rows of one key are dealt out by.
+SALTS = 32
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str | list[str], how: str = "inner", keys: DataFrame | None = None) -> DataFrame:
+    """many joined with one on key, where one has a row a key and many may have any number: rows of a key are dealt by a
+    hash of ``by``, and the key's row goes to each share that has any. keys: the columns key and by of many, where they
+    are cheaper to read than many itself."""
+    salt = F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by)), F.lit(SALTS)).cast("int")
+    wanted = (many if keys is None else keys).select(key, salt.alias("_salt")).distinct().join(one, key)
+    return many.withColumn("_salt", salt).join(wanted, [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(node, label): the smallest node of each connected component, for nodes that have edges.
 
@@ -73,7 +91,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         seen = both.join(label.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = saved(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        after = saved(spread_join(step, jump, "label", "node", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         moved = not after.where("old <> label").isEmpty()
         drop_saved(label)
         label = after

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import components, drop_saved, saved, slices
+from lakeloom.llm.common import components, drop_saved, saved, slices, spread_join
 
 BANDS, ROWS, BITS = 48, 5, 4
 #: Estimates this far below the threshold are screened out: six standard errors of 240 minima.
@@ -174,7 +174,7 @@ def _screen(g, threshold: float):
     if not len(x) or not len(y):
         return g.loc[[], ["band", "xb", "yb", "left", "cls", "comp"]]
     sx, sy = (np.frombuffer(b"".join(s.sig), dtype=np.int64).reshape(len(s), -1) for s in (x, y))
-    near = estimate(sx[:, None, :], sy[None, :, :]) >= threshold
+    near = np.concatenate([estimate(sx[at : at + 32, None, :], sy[None, :, :]) >= threshold for at in range(0, len(sx), 32)])
     near &= x.comp.to_numpy()[:, None] != y.comp.to_numpy()[None, :]
     nx, ny = x.n.to_numpy()[:, None], y.n.to_numpy()[None, :]
     near &= np.minimum(nx, ny) >= (threshold * np.maximum(nx, ny))
@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = saved(source.mapInArrow(partial(_signed, words=words), _SIGNED))
     least = _labelled(source, signed, words, percent, F.min("id").alias("least"))
     smallest = least.groupBy("label").agg(F.min("least").alias("component"))
-    named = least.join(smallest, "label").select("cls", "component")
-    rows = signed.select("id", "n", "cls").join(named, "cls", "left")
+    named = spread_join(least, smallest, "label", "cls").select("cls", "component")
+    rows = spread_join(signed.select("id", "n", "cls"), named, "cls", "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
@@ -301,10 +301,17 @@ def _labelled(source: DataFrame, signed: DataFrame, words: int, percent: int, *o
     right = placed_in.select(*common, F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), F.pmod("h", "ny").cast("int").alias("yb"))
     screened = saved(left.unionByName(right).groupBy("band", "xb", "yb").applyInPandas(partial(_screen, threshold=threshold), "band long, xb int, yb int, left boolean, cls binary, comp binary"))
     more = saved(screened.join(sets, "cls").groupBy("band", "xb", "yb").applyInPandas(partial(_confirm, percent=percent), "a binary, b binary").distinct())
-    final = components(links.union(links_few).union(more))
 
-    out = saved(classes.select(own).join(final.withColumnRenamed("node", "cls"), "cls", "left").select(*own, F.coalesce("label", "cls").alias("label")))
-    drop_saved(members, hubs, sets, links, links_few, label, placed, apart, open_, screened, more, classes, final)
+    # those links join whole components, so only they are gone over again, between labels
+    new = links_few.union(more)
+    for c in ("a", "b"):
+        new = new.join(label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c, "left")
+    new = new.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    joined = components(new)
+    labelled = classes.select(own).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    moved = joined.select(F.col("node").alias("label"), F.col("label").alias("_joined"))
+    out = saved(spread_join(labelled, moved, "label", "cls", "left").select(*own, F.coalesce("_joined", "label").alias("label")))
+    drop_saved(members, hubs, sets, links, links_few, label, placed, apart, open_, screened, more, classes, joined)
     return out
 
 
