@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import saved, shared_dir
+from lakeloom.llm.common import saved, shared_dir, spread_join
 
 #: Bytes of a payload in one row, and about how many an archive holds before the next is begun.
 CHUNK, ARCHIVE = 1 << 18, 1 << 26
@@ -37,13 +37,14 @@ def _clean(value: str) -> str:
 def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, payload, digest, refers_to): which records are stored and which revisit another.
 
-    Of records with equal payloads of REVISIT_FROM bytes or more, the one with the largest id is stored."""
+    Of records with equal payloads of REVISIT_FROM bytes or more, the one with the largest id is stored. Which those are
+    follows from ids, digests and sizes alone; payloads are shuffled once, copies of one payload in shares by id."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    long_ = F.octet_length("payload") >= REVISIT_FROM
-    kept = rows.where(long_).groupBy("digest").agg(F.max("id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.withColumn("key", F.when(long_, F.col("digest"))).join(kept.select(F.col("digest").alias("key"), "kept"), "key", "left")
+    about = saved(rows.select("id", "url", "digest", F.octet_length("payload").alias("size")))
+    kept = about.where(F.col("size") >= REVISIT_FROM).groupBy("digest").agg(F.max("id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
+    rows = spread_join(rows, kept, "digest", ["id", "url"], "left", keys=about)
     refers = F.when(~F.col("id").eqNullSafe(F.col("kept")), F.col("kept"))
     return rows.select("id", "url", "payload", "digest", refers.alias("refers_to"))
 
