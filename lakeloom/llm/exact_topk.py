@@ -5,7 +5,10 @@ meets a candidate block dimension block by dimension block: partial inner produc
 only while its partial sum plus the largest the remaining dimensions can add (the product of the two vectors'
 remaining norms) can still reach the query's k-th best score so far. Survivors are compacted after every dimension
 block, so later dimensions are read for few candidates. First thresholds come from a seed of ``SEED`` candidates; a
-threshold is always the k-th best of real candidates, so nothing that belongs to the result is lost."""
+threshold is always the k-th best of real candidates, so nothing that belongs to the result is lost.
+
+Blocks are dealt to groups of about ``GROUP_BYTES``, and each pair of a query group and a candidate group meets in one
+cell: a candidate is copied once for each query group and a query once for each candidate group."""
 
 from __future__ import annotations
 
@@ -20,6 +23,8 @@ from lakeloom.llm.common import saved
 
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4096
 SEED = 4096
+#: Values of a group's blocks, which one task holds with those of another group.
+GROUP_BYTES = 1 << 25
 #: Dimensions added between two compactions.
 DIMS = 16
 
@@ -44,7 +49,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
     for b in batches:
         vectors = b.column("v")
         values, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(vectors.value_lengths().to_numpy())
-        whole = np.floor(1024.0 * values.astype(np.float64)).astype(np.int64)
+        whole = np.floor(1024.0 * values.astype(np.float64))
+        if len(whole) and np.abs(whole).max() >= 2**63:
+            raise OverflowError("components are too large for scores of 64 bits")
+        whole = whole.astype(np.int64)
         for i, v in zip(b.column("id").to_pylist(), np.split(whole, ends[:-1]), strict=True):
             own = held.setdefault(len(v), [])
             own.append((i, v))
@@ -89,6 +97,8 @@ class _Best:
 def search(best: _Best, queries: np.ndarray, q_rest: np.ndarray, ids: np.ndarray, columns: np.ndarray) -> None:
     """Adds a candidate block's survivors to each query's best."""
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(columns).max(initial=0)) * max(len(columns), 1)
+    if top >= 2**63:
+        raise OverflowError("components are too large for scores of 64 bits")
     kind = np.float64 if top < 2**52 else np.int64  # sums of products below 2^53 are exact as doubles
     q, c = queries.astype(kind), columns.astype(kind)
     c_rest = _rest(columns)
@@ -124,27 +134,24 @@ def _seeded(batches: Iterator[pa.RecordBatch], seed: dict, k: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("dim", "block", "ids", "columns")), pa.array(floors, pa.binary())], ["dim", "block", "ids", "columns", "floor"])
 
 
-def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    at, best, q, q_rest = None, None, None, None
-    for b in batches:
-        blocks = b.column("q_block").to_pylist()
-        for row in range(b.num_rows):
-            if blocks[row] != at:
-                if best is not None:
-                    yield best.rows()
-                at = blocks[row]
-                ids, q = _matrix(b.column("q_ids")[row], b.column("q_columns")[row])
-                best, q_rest = _Best(ids, np.frombuffer(b.column("floor")[row].as_buffer(), dtype="<f8"), k), _rest(q)
-            search(best, q, q_rest, *_matrix(b.column("ids")[row], b.column("columns")[row]))
-    if best is not None:
-        yield best.rows()
+def _met(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The best of the candidate blocks ``right`` for each query of the blocks ``left``."""
+    out = []
+    for row in range(left.num_rows if right.num_rows else 0):
+        ids, q = _matrix(left.column("ids")[row], left.column("columns")[row])
+        best, q_rest = _Best(ids, np.frombuffer(left.column("floor")[row].as_buffer(), dtype="<f8"), k), _rest(q)
+        for other in range(right.num_rows):
+            search(best, q, q_rest, *_matrix(right.column("ids")[other], right.column("columns")[other]))
+        out.append(best.rows())
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    return pa.Table.from_batches(out, schema=schema)
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k rows of ``vectors`` with the highest score, ties to the
     smaller id; all of them, if there are fewer.
 
-    Components are floor(1024 * x); the score is their inner product, which must fit 64 bits. A row with the query's
+    Components are floor(1024 * x); the score is their inner product, which must fit 64 bits (else OverflowError). A row with the query's
     own id is no candidate. Vectors that are null or hold null, NaN or infinite components, and rows with a null id,
     take no part. Vectors meet only vectors of their own length. Of query rows that repeat an id the least vector
     asks; candidate rows that repeat an id all count. Empty tables give an empty result; other columns are not read."""
@@ -165,14 +172,17 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     query_blocks = saved(asked.mapInArrow(lambda batches: _blocks(batches, QUERY_ROWS), _BLOCK).mapInArrow(lambda batches: _seeded(batches, shared.value, k), _BLOCK + ", floor binary"))
     candidate_blocks = saved(candidates.mapInArrow(lambda batches: _blocks(batches, CANDIDATE_ROWS), _BLOCK))
 
-    # every query block meets every candidate block of its dimension: both are dealt over a grid of groups
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbers = query_blocks.select("dim", "block").groupBy("dim").agg(F.collect_list("block").alias("q_blocks"))  # a number a block
-    groups = F.sequence(F.lit(0), F.lit(width - 1))
-    left = query_blocks.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"), "floor", F.explode(groups).alias("part"))
-    right = candidate_blocks.join(numbers, "dim").select("dim", "ids", "columns", F.pmod(F.xxhash64("block"), F.lit(width)).cast("int").alias("part"), F.explode("q_blocks").alias("q_block"))
-    met = right.join(left, ["dim", "q_block", "part"]).select("q_block", "q_ids", "q_columns", "floor", "ids", "columns")
-    found = met.mapInArrow(lambda batches: _searched(batches, k), "query_id long, vec_id long, score long")
+    def groups(blocks: DataFrame, name: str) -> DataFrame:
+        return blocks.groupBy("dim").agg(F.ceil((F.sum(F.octet_length("columns")) + 1) / GROUP_BYTES).cast("int").alias(name))
+
+    # every query group meets every candidate group of its dimension in a cell of a grid
+    sizes = groups(query_blocks, "nq").join(groups(candidate_blocks, "nc"), "dim")  # a row a dimension
+    of = lambda n: F.pmod(F.xxhash64("block"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = query_blocks.join(sizes, "dim").select("dim", of("nq").alias("qg"), each("nc").alias("cg"), "ids", "columns", "floor")
+    right = candidate_blocks.join(sizes, "dim").select("dim", each("nq").alias("qg"), of("nc").alias("cg"), "ids", "columns")
+    cell = ["dim", "qg", "cg"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(lambda x, y: _met(x, y, k), "query_id long, vec_id long, score long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
