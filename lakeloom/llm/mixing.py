@@ -7,7 +7,10 @@ u / (1 - u) from a hash of its id. Documents are ranked by random odds / inclusi
 in that order up to its target; what is left after the last that fits goes, in the same order, to documents that
 are no longer than the rest. Both ends are single numbers a source (``cut`` and ``refill``), so a document's copies
 follow from its own row and its source's: no text is shuffled, and a hot source is never ordered in one task.
-The ends are found by a histogram of ``BINS`` rank bins a source and an ordering of one bin.
+The ends are found by a histogram of ``BINS`` rank bins a source and an ordering of the ranks in one bin.
+
+Rows with the same id and size have one rank. Where an end falls among such rows, as many of them are taken as fit
+(``cut_some`` and ``refill_some``); only they are numbered, in ``SLOTS`` shares of their source.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import drop_saved, saved
 
 BINS = 4096
+#: Shares in which tied rows are numbered.
+SLOTS = 256
 #: Weight of length class c (bits of the size, less one) is CLASS_WEIGHT - c.
 CLASS_WEIGHT = 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,7 +53,8 @@ def _filled(df: DataFrame, by: list[str], total: str, weight: str, most: str, or
 
 
 def _end(ranked: DataFrame, room: DataFrame) -> DataFrame:
-    """(source, end, left): up to which rank a source's documents fit into its room, and what is then left of it.
+    """(source, end, tie, some, left): up to which rank a source's documents fit into its room, the next rank, how many of
+    its rows still fit, and what is then left of the room.
 
     ranked has source, size and q; room has source and room."""
     ranked = ranked.withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
@@ -61,11 +67,15 @@ def _end(ranked: DataFrame, room: DataFrame) -> DataFrame:
     for part in (whole, edge):
         state = _beside(state, part, "left")
     state = saved(state.select("source", "room", F.coalesce("end", F.lit(-1.0)).alias("end"), F.coalesce("words", F.lit(0)).alias("words"), "edge"))
-    in_order = Window.partitionBy("source").orderBy("q").rangeBetween(Window.unboundedPreceding, 0)
-    inside = _beside(ranked, state, "inner").where("bin = edge").withColumn("cum", F.col("words") + F.sum("size").over(in_order))
+    in_order = Window.partitionBy("source").orderBy("q")
+    inside = _beside(ranked, state, "inner").where("bin = edge").groupBy("source", "q", "room", "words").agg(F.sum("size").alias("own"), F.max("size").alias("size"))
+    inside = inside.withColumn("cum", F.col("words") + F.sum("own").over(in_order))
     fits = inside.where("cum <= room").groupBy("source").agg(F.max("q").alias("last"), F.max("cum").alias("most"))
-    out = _beside(state, fits, "left")
-    return out.select("source", F.coalesce("last", "end").alias("end"), (F.col("room") - F.coalesce("most", "words")).alias("left"))
+    over = inside.where("cum > room").groupBy("source").agg(F.min(F.struct("q", "size")).alias("next"))
+    out = _beside(_beside(state, fits, "left"), over, "left").withColumn("left", F.col("room") - F.coalesce("most", "words"))
+    out = out.withColumn("some", F.coalesce(F.floor(F.col("left") / F.col("next.size")), F.lit(0)).cast("long"))
+    left = F.col("left") - F.col("some") * F.coalesce(F.col("next.size"), F.lit(0))
+    return out.select("source", F.coalesce("last", "end").alias("end"), F.col("next.q").alias("tie"), "some", left.alias("left"))
 
 
 def _beside(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -95,9 +105,9 @@ def _plan(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: int, se
     marks = due.where("p > 0").select(F.col("source").alias("_source"), F.col("class").alias("_class"), "p")
     ranked = ranked.join(marks, ranked["source"].eqNullSafe(marks["_source"]) & (ranked["class"] == marks["_class"]))
     ranked = saved(ranked.select("source", "size", _rank(F.col("id"), F.col("size"), F.col("p"), seed).alias("q")))
-    cut = saved(_end(ranked, room).select("source", F.col("end").alias("cut"), F.col("left").alias("gap")))
+    cut = saved(_end(ranked, room).select("source", F.col("end").alias("cut"), F.col("tie").alias("cut_tie"), F.col("some").alias("cut_some"), F.col("left").alias("gap")))
     later = _beside(ranked, cut).where("q > cut and size <= gap").select("source", "size", "q")
-    refill = _end(later, cut.select("source", F.col("gap").alias("room"))).select("source", F.col("end").alias("refill"))
+    refill = _end(later, cut.select("source", F.col("gap").alias("room"))).select("source", F.col("end").alias("refill"), F.col("tie").alias("refill_tie"), F.col("some").alias("refill_some"))
     plan = _beside(due.drop("target", "class_size"), _beside(cut, refill, "left"))
     plan = _beside(sources.select("source", "source_size", "target"), plan, "left")
     plan = saved(plan)
@@ -112,14 +122,30 @@ def _rank(id_: Column, size: Column, p: Column, seed: int) -> Column:
 
 def _decided(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """rows (id, source, size and others) with source_size, target and copies."""
+    columns = rows.columns
     totals = plan.groupBy("source").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"))
-    marks = plan.select(F.col("source").alias("_source"), F.col("class").alias("_class"), "certain", "p", "cut", "gap", "refill").where("_class is not null")
+    ends = ["cut", "cut_tie", "cut_some", "gap", "refill", "refill_tie", "refill_some"]
+    marks = plan.select(F.col("source").alias("_source"), F.col("class").alias("_class"), "certain", "p", *ends).where("_class is not null")
     rows = _beside(rows, totals, "left").withColumn("class", _class(F.col("size")))
     rows = rows.join(marks, rows["source"].eqNullSafe(marks["_source"]) & (rows["class"] == marks["_class"]) & (rows["size"] > 0), "left")
-    q = F.when(F.col("p") > 0, _rank(F.col("id"), F.col("size"), F.col("p"), seed))
-    drawn = (q <= F.col("cut")) | ((F.col("size") <= F.col("gap")) & (q <= F.col("refill")))
-    copies = F.coalesce(F.col("certain") + F.when(drawn, 1).otherwise(0), F.lit(0))
-    return rows.withColumn("copies", copies.cast("int")).drop("_source", "_class", "class", "certain", "p", "cut", "gap", "refill")
+    rows = rows.withColumn("q", F.when(F.col("p") > 0, _rank(F.col("id"), F.col("size"), F.col("p"), seed)))
+    drawn = (F.col("q") <= F.col("cut")) | ((F.col("size") <= F.col("gap")) & (F.col("q") <= F.col("refill")))
+    some = F.when((F.col("q") == F.col("cut_tie")) & (F.col("cut_some") > 0), F.col("cut_some")).when((F.col("q") == F.col("refill_tie")) & (F.col("size") <= F.col("gap")) & (F.col("refill_some") > 0), F.col("refill_some"))
+    rows = rows.withColumn("_some", some).select(*columns, "source_size", "target", "certain", drawn.alias("_drawn"), "q", "_some")
+    if not plan.where("cut_some > 0 or refill_some > 0").isEmpty():
+        rows = rows.where("_some is null").unionByName(_first_of_tied(rows.where("_some is not null")))
+    return rows.withColumn("copies", F.coalesce(F.col("certain") + F.when(F.col("_drawn"), 1).otherwise(0), F.lit(0)).cast("int")).drop("certain", "_drawn", "q", "_some")
+
+
+def _first_of_tied(rows: DataFrame) -> DataFrame:
+    """Of the rows of each rank, the first ``_some`` are drawn. Which they are has no bearing on the result: they are alike."""
+    rows = saved(rows.withColumn("_slot", F.pmod(F.monotonically_increasing_id(), F.lit(SLOTS)).cast("int")))
+    per = rows.groupBy(F.col("source").alias("_of"), F.col("q").alias("_q"), F.col("_slot").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_of", "_q").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("_of", "_q", "_s", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("source", "q", "_slot").orderBy("size")))
+    numbered = numbered.join(per, F.col("source").eqNullSafe(F.col("_of")) & (F.col("q") == F.col("_q")) & (F.col("_slot") == F.col("_s")))
+    return numbered.withColumn("_drawn", F.col("_k") + F.col("_before") <= F.col("_some")).drop("_slot", "_of", "_q", "_s", "_k", "_before")
 
 
 def mix_sources(
@@ -131,9 +157,9 @@ def mix_sources(
     last, take ``weights`` in turn and share ``share`` of all sizes; a target stops at ``cap`` times its source's
     size, and the excess goes to the others by weight. taken = copies * size, copies <= cap; a source's taken words
     fall short of its target by less than the smallest document that was passed over for want of room.
-    Null sources are a source; null ids count as one id; texts without words get no copies; rows with the same id and
-    size have the same rank and are taken together; an empty table gives an empty result. The seed fixes the result.
-    Other columns are not read."""
+    Null sources are a source; null ids count as one id; texts without words get no copies; of rows with the same id
+    and size, which have the same rank, as many are taken as fit; an empty table gives an empty result. The seed fixes
+    how many of each are taken. Other columns are not read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _size(F.col(text_col).cast("string")).alias("size"))
     sizes = saved(rows)
     out = _decided(sizes, _plan(sizes, weights, share, cap, seed), seed)
@@ -190,19 +216,25 @@ WITH d AS (
 ), q AS (
   SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM u
 ), f AS (
-  SELECT q.source, q, room, sum(size) OVER (PARTITION BY q.source ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  SELECT q.source, q, size, room, sum(size) OVER (PARTITION BY q.source ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
   FROM q JOIN room ON q.source IS NOT DISTINCT FROM room.source WHERE q IS NOT NULL
 ), cut AS (
-  SELECT room.source, coalesce(max(q), -1) AS cut, max(room.room) - coalesce(max(cum), 0) AS gap
-  FROM room LEFT JOIN (SELECT * FROM f WHERE cum <= room) g ON room.source IS NOT DISTINCT FROM g.source GROUP BY room.source
+  SELECT room.source, coalesce(max(q) FILTER (cum <= room.room), -1) AS cut, min(q) FILTER (cum > room.room) AS tie, arg_min(size, q) FILTER (cum > room.room) AS tie_size,
+    max(room.room) - coalesce(max(cum) FILTER (cum <= room.room), 0) AS rest
+  FROM room LEFT JOIN f ON room.source IS NOT DISTINCT FROM f.source GROUP BY room.source
+), cut_ends AS (
+  SELECT source, cut, tie, CAST(coalesce(floor(rest / tie_size), 0) AS BIGINT) AS some, rest - CAST(coalesce(floor(rest / tie_size), 0) AS BIGINT) * coalesce(tie_size, 0) AS gap FROM cut
 ), f2 AS (
-  SELECT q.source, q, gap, sum(size) OVER (PARTITION BY q.source ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
-  FROM q JOIN cut ON q.source IS NOT DISTINCT FROM cut.source WHERE q > cut AND size <= gap
+  SELECT q.source, q, size, gap, sum(size) OVER (PARTITION BY q.source ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM q JOIN cut_ends c ON q.source IS NOT DISTINCT FROM c.source WHERE q > cut AND size <= gap
 ), refill AS (
-  SELECT source, max(q) AS refill FROM f2 WHERE cum <= gap GROUP BY source
+  SELECT source, max(q) FILTER (cum <= gap) AS refill, min(q) FILTER (cum > gap) AS tie, floor((max(gap) - coalesce(max(cum) FILTER (cum <= gap), 0)) / (arg_min(size, q) FILTER (cum > gap))) AS some
+  FROM f2 GROUP BY source
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source, q) AS k FROM q
 ), t AS (
-  SELECT q.id, q.size, q.source, coalesce(certain + CASE WHEN q <= cut OR (q.size <= gap AND q <= refill) THEN 1 ELSE 0 END, 0) AS copies
-  FROM q LEFT JOIN cut ON q.source IS NOT DISTINCT FROM cut.source LEFT JOIN refill ON q.source IS NOT DISTINCT FROM refill.source
+  SELECT n.id, n.size, n.source, coalesce(certain + CASE WHEN n.q <= cut OR (n.q = c.tie AND k <= c.some) OR (n.size <= gap AND (n.q <= refill OR (n.q = r.tie AND k <= r.some))) THEN 1 ELSE 0 END, 0) AS copies
+  FROM n LEFT JOIN cut_ends c ON n.source IS NOT DISTINCT FROM c.source LEFT JOIN refill r ON n.source IS NOT DISTINCT FROM r.source
 )
 SELECT id AS doc_id, size, source_size, target, CAST(copies AS INT) AS copies, CAST(copies * size AS BIGINT) AS taken
 FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source

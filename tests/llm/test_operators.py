@@ -138,6 +138,16 @@ def test_mixing_comes_near_targets(spark):
         assert r.target - 100 <= r.taken <= r.target
 
 
+def test_mixing_takes_some_of_tied_rows(spark):
+    df = spark.range(900).selectExpr("cast(null as long) doc_id", "element_at(array('a', 'b', null), cast(1 + id % 3 as int)) source", "'one two three four five' text")
+    taken = {(r.source_size, r.target, r.copies): r.n for r in mix_sources(df).groupBy("source_size", "target", "copies").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for target in {t for _, t, _ in taken}:
+        words = sum(5 * c * n for (_, t, c), n in taken.items() if t == target)
+        assert target - 5 < words <= target
+    mixed = mixed_documents(df)
+    assert mixed.count() == sum(c * n for (_, _, c), n in taken.items())
+
+
 def test_byte_bpe(spark, docs, none):
     import base64
 
