@@ -21,6 +21,10 @@ from lakeloom.llm.near_dedup import _mixed, _Words
 
 #: At most so many labelled documents are fitted on, those with the smallest hashes of their id.
 SAMPLE = 3000
+#: Of a document with more lines, so many from its middle are fitted on.
+SAMPLE_LINES = 400
+#: A text of more bytes is worked on in pieces of whole lines of about so many, and lines in runs of LINES.
+PIECE, LINES = 1 << 22, 1 << 16
 #: Ridge penalty on the weights, and steps of the fit.
 RIDGE, STEPS = 1.0, 60
 
@@ -36,12 +40,53 @@ _KINDS = {
 }
 _TABLES = np.stack([np.isin(np.arange(256), np.frombuffer(k, dtype=np.uint8)) for k in _KINDS.values()]).astype(np.uint8)
 _OWN = len(_KINDS) + 8
+#: The feature that says whether the text has had the line before.
+_REPEATED = _OWN - 2
 WIDTH = 3 * _OWN + 3
 
 
-def line_features(texts: list[str | None], hasher: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def line_features(raw: list[bytes], hasher: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features by line with its neighbours', bytes by line, first line of each text and the end)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    own, size, first, _ = _own_features(raw, hasher)
+    lead, trail = np.zeros(len(own)), np.zeros(len(own))
+    lead[first[:-1]] = trail[first[1:] - 1] = 1
+    before, after = np.roll(own, 1, axis=0) * (1 - lead)[:, None], np.roll(own, -1, axis=0) * (1 - trail)[:, None]
+    return np.column_stack([own, before, after, lead, trail, np.ones(len(own))]), size, first
+
+
+def line_odds(raw: list[bytes], hasher: _Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log odds by line, bytes by line, first line of each text and the end), as the features of whole texts give them.
+
+    What is held is some 40 bytes for each byte of a piece, and 40 for each line of a text."""
+    if len(raw) > 1 or not raw or len(raw[0]) <= PIECE:
+        x, size, first = line_features(raw, hasher)
+        return x @ weights, size, first
+    text, at, own_w = raw[0], 0, weights[: 3 * _OWN].reshape(3, _OWN)
+    parts, sizes, seen = [], [], np.zeros(0, dtype=np.uint64)
+    while at <= len(text):
+        end = text.find(b"\n", at + PIECE)
+        end = len(text) if end < 0 else end
+        own, size, _, key = _own_features([text[at:end]], hasher)
+        own[:, _REPEATED] = np.maximum(own[:, _REPEATED], np.isin(key, seen))
+        seen = np.union1d(seen, key)
+        parts.append(own @ own_w.T)
+        sizes.append(size)
+        at = end + 1
+    own, before, after = np.concatenate(parts).T
+    odds = own + weights[-1]
+    odds[1:] += before[:-1]
+    odds[:-1] += after[1:]
+    odds[0] += weights[-3]
+    odds[-1] += weights[-2]
+    return odds, np.concatenate(sizes), np.array([0, len(odds)])
+
+
+def _own_features(raw: list[bytes], hasher: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features by line, bytes by line, first line of each text and the end, a hash of each line's words)."""
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     end = np.flatnonzero(data == 10)
     start = np.concatenate([[0], end[:-1] + 1])
@@ -80,10 +125,7 @@ def line_features(texts: list[str | None], hasher: _Words) -> tuple[np.ndarray,
             (size > 0) & np.isin(last, [33, 34, 46, 63]),
         ]
     ).astype(np.float64)
-    lead, trail = np.zeros(len(start)), np.zeros(len(start))
-    lead[first[:-1]] = trail[first[1:] - 1] = 1
-    before, after = np.roll(own, 1, axis=0) * (1 - lead)[:, None], np.roll(own, -1, axis=0) * (1 - trail)[:, None]
-    return np.column_stack([own, before, after, lead, trail, np.ones(len(start))]), size, first
+    return own, size, first, total
 
 
 @dataclass(frozen=True)
@@ -95,34 +137,38 @@ class QualityModel:
     slope: float = 1.0
     shift: float = 0.0
 
-    def marginals(self, features: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Probability that each line is good."""
-        odds = np.exp(np.clip(features @ self.weights, -30, 30)).tolist()
+    def marginals(self, odds: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Probability that each line is good, from the log odds of lines by themselves."""
+        odds = np.exp(np.clip(odds, -30, 30))
         (bb, bg), (gb, gg) = np.exp(self.pair).tolist()
-        forward, backward = [0.0] * len(odds), [0.0] * len(odds)
-        bounds = first.tolist()
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            r = odds[lo]
-            forward[lo] = r
-            for k in range(lo + 1, hi):
-                r = min(max(odds[k] * (gg * r + bg) / (gb * r + bb), 1e-60), 1e60)
-                forward[k] = r
-            r = 1.0
-            backward[hi - 1] = r
-            for k in range(hi - 2, lo - 1, -1):
-                x = odds[k + 1] * r
-                r = (gg * x + gb) / (bg * x + bb)
-                backward[k] = r
-        m = np.array(forward) * np.array(backward)
+        begins, ends = np.zeros(len(odds), dtype=bool), np.zeros(len(odds), dtype=bool)
+        begins[first[:-1]] = ends[first[1:] - 1] = True
+        forward, backward = np.empty(len(odds)), np.empty(len(odds))
+        r = 1.0
+        for at in range(0, len(odds), LINES):
+            out = []
+            for x, new in zip(odds[at : at + LINES].tolist(), begins[at : at + LINES].tolist(), strict=True):
+                r = x if new else min(max(x * (gg * r + bg) / (gb * r + bb), 1e-60), 1e60)
+                out.append(r)
+            forward[at : at + LINES] = out
+        following = 1.0  # what the lines after this one say, and the next one's odds
+        for at in range((len(odds) - 1) // LINES * LINES, -1, -LINES):
+            out = []
+            for x, last in zip(odds[at : at + LINES][::-1].tolist(), ends[at : at + LINES][::-1].tolist(), strict=True):
+                r = 1.0 if last else (gg * following + gb) / (bg * following + bb)
+                following = x * r
+                out.append(r)
+            backward[at : at + LINES] = out[::-1]
+        m = forward * backward
         return m / (1 + m)
 
-    def raw(self, features: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def raw(self, odds: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Length-weighted mean of the marginals of each text's lines."""
-        m, w = self.marginals(features, first), size + 1.0
+        m, w = self.marginals(odds, first), size + 1.0
         return np.add.reduceat(m * w, first[:-1]) / np.add.reduceat(w, first[:-1])
 
-    def scores(self, features: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-        r = np.clip(self.raw(features, size, first), 1e-4, 1 - 1e-4)
+    def scores(self, odds: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+        r = np.clip(self.raw(odds, size, first), 1e-4, 1 - 1e-4)
         return 1 / (1 + np.exp(-(self.slope * np.log(r / (1 - r)) + self.shift)))
 
 
@@ -135,9 +181,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np
     return w
 
 
-def _pair_counts(model: QualityModel, x: np.ndarray, first: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Expected neighbouring states, from unary odds and marginals of one chain after another."""
-    odds = np.exp(np.clip(x @ model.weights, -30, 30)).tolist()
+def _pair_counts(model: QualityModel, odds: np.ndarray, first: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Expected neighbouring states, from log odds and marginals of one chain after another."""
+    odds = np.exp(np.clip(odds, -30, 30)).tolist()
     pot = np.exp(model.pair)
     out = np.zeros((2, 2))
     bounds = first.tolist()
@@ -175,15 +221,16 @@ def fit_quality(features: np.ndarray, size: np.ndarray, first: np.ndarray, label
     square_w, square_p = np.zeros_like(w), np.zeros((2, 2))
     for step in range(1, STEPS + 1):
         model = QualityModel(w, pair)
-        m = model.marginals(features, first)
+        odds = features @ w
+        m = model.marginals(odds, first)
         grad_w = (features.T @ (y - m) - RIDGE * w) / n
-        grad_p = (seen - _pair_counts(model, features, first, m) - RIDGE * pair * 10) / n
+        grad_p = (seen - _pair_counts(model, odds, first, m) - RIDGE * pair * 10) / n
         moment_w, moment_p = 0.9 * moment_w + 0.1 * grad_w, 0.9 * moment_p + 0.1 * grad_p
         square_w, square_p = 0.99 * square_w + 0.01 * grad_w**2, 0.99 * square_p + 0.01 * grad_p**2
         rate = 0.05 / (1 - 0.9**step) * np.sqrt(1 - 0.99**step)
         w, pair = w + rate * moment_w / (np.sqrt(square_w) + 1e-8), pair + rate * moment_p / (np.sqrt(square_p) + 1e-8)
     model = QualityModel(w, pair)
-    r = np.clip(model.raw(features, size, first), 1e-4, 1 - 1e-4)
+    r = np.clip(model.raw(features @ w, size, first), 1e-4, 1 - 1e-4)
     slope, shift = _logistic(np.column_stack([np.log(r / (1 - r)), np.ones(len(r))]), label.astype(np.float64), 1e-2)
     return QualityModel(w, pair, float(slope), float(shift))
 
@@ -197,17 +244,27 @@ def _weighted(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
     return w
 
 
+def _middle(text: bytes) -> bytes:
+    """The middle SAMPLE_LINES lines of a text that has more."""
+    if text.count(b"\n") < SAMPLE_LINES:
+        return text
+    lines = text.split(b"\n")
+    at = (len(lines) - SAMPLE_LINES) // 2
+    return b"\n".join(lines[at : at + SAMPLE_LINES])
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = _Words()
     for b in slices(batches, "text"):
-        x, size, first = line_features(b.column("text").to_pylist(), hasher)
+        x, size, first = line_features([_middle(_utf8(t)) for t in b.column("text").to_pylist()], hasher)
         parts = [x[lo:hi].astype("<f4").tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
         sizes = [size[lo:hi].astype("<f8").tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(parts, pa.binary()), pa.array(sizes, pa.binary())], ["id", "label", "x", "size"])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    """A model fitted on at most ``sample`` rows of ``labels`` (id_col, label_col 0 or 1) and their texts in ``docs``.
+    """A model fitted on at most ``sample`` rows of ``labels`` (id_col, label_col 0 or 1) and their texts in ``docs``, of
+    a text with more than SAMPLE_LINES lines on those in its middle.
 
     The rows are those with the smallest hashes of their id, so the choice depends on ids alone. Rows with a null id
     or label are left out. With no labelled text every score is 0.5; with one label only, all scores lean to it."""
@@ -228,8 +285,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def _scored(batches: Iterator[pa.RecordBatch], model: QualityModel) -> Iterator[pa.RecordBatch]:
     hasher = _Words()
     for b in slices(batches, "text"):
-        x, size, first = line_features(b.column("text").to_pylist(), hasher)
-        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(model.scores(x, size, first), pa.float64())], ["row", "score"])
+        odds, size, first = line_odds([_utf8(t) for t in b.column("text").to_pylist()], hasher, model.weights)
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(model.scores(odds, size, first), pa.float64())], ["row", "score"])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
