@@ -22,34 +22,80 @@ from lakeloom.llm.common import slices
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 _O, _E = "<<beginOptional>>", "<<endOptional>>"
+_Q, _HOLDER = "<<var;name=quote;words=1>>", "<<var;name=holder;words=30>>"
+_UNDER = f"{_O}This <<var;name=work;words=4>> is{_E} {_O}dual{_E} {_O}licensed{_E} {_O}released{_E} {_O}distributed{_E} {_O}available{_E} under {_O}the terms of{_E}"
 _NO_WARRANTY = (
-    f"{_O}THE SOFTWARE IS PROVIDED <<var;name=quote;words=2>>AS IS<<var;name=quote;words=2>>, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, "
-    "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.<<endOptional>>"
+    f"THE SOFTWARE IS PROVIDED {_Q}AS IS{_Q}, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE <<var;name=who;words=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
+_BSD_FIRST = (
+    f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {_O}1{_E} "
+    f"Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {_O}2{_E} "
+    f"Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_LAST = (
+    f"THIS SOFTWARE IS PROVIDED BY <<var;name=who;words=16>> {_Q}AS IS{_Q} AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL <<var;name=who;words=16>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(name: str, version: str) -> str:
+    """The notice that the Free Software Foundation asks for."""
+    return (
+        f"{_O}This program{_E} {_O}<<var;name=work;words=6>>{_E} is free software{_O};{_E} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version. {_O}This program{_E} {_O}<<var;name=work;words=6>>{_E} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        f"without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+    )
+
 
-#: label -> template. Wording of licenses and of the notices that name them.
+#: label -> template: the wording of licenses, and of the notices that refer to them.
 TEMPLATES = {
-    "apache-2.0-notice": f"Licensed under {_O}the{_E} Apache License, {_O}Version{_E} 2.0{_O} (the <<var;name=quote;words=1>>License<<var;name=quote;words=1>>){_E}",
-    "bsd-2-or-3-clause": (
-        f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {_O}1{_E} "
-        f"Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {_O}2{_E} "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    "agpl-3.0-header": _gnu("GNU Affero General Public License", "3"),
+    "apache-2.0-header": (
+        f"Licensed under the Apache License, Version 2.0 (the {_Q}License{_Q}); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var;name=url;words=8>> "
+        f"Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an {_Q}AS IS{_Q} BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License."
     ),
-    "cc-by-nc-4.0-notice": f"{_O}This work is{_E} Licensed under {_O}the{_E} {_O}a Creative Commons Attribution NonCommercial 4.0 International License{_E} {_O}license{_E} CC BY-NC 4.0",
-    "gpl-3.0-notice": f"{_O}This <<var;name=work;words=4>> is{_E} licensed under {_O}the terms of{_E} the GNU General Public License, {_O}as published by the Free Software Foundation, either{_E} version 3{_O} of the License, or (at your option) any later version{_E}",
+    "apache-2.0-notice": f"{_UNDER} {_O}the{_E} Apache License{_O},{_E} {_O}Version{_E} 2.0{_O} (the {_Q}License{_Q}){_E}",
+    "bsd-2-clause": _BSD_FIRST + _BSD_LAST,
+    "bsd-3-clause": (
+        f"{_BSD_FIRST} {_O}3{_E} Neither the name of <<var;name=who;words=16>> nor the names of {_O}its{_E} {_O}the{_E} {_O}other{_E} contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_LAST}"
+    ),
+    "cc-by-4.0-notice": f"{_UNDER} {_O}a{_E} {_O}the{_E} Creative Commons Attribution 4.0 {_O}International{_E} {_O}Public{_E} License",
+    "cc-by-nc-4.0-notice": f"{_UNDER} {_O}the{_E} {_O}a Creative Commons Attribution NonCommercial 4.0 International License{_E} {_O}license{_E} CC BY-NC 4.0",
+    "cc-by-sa-4.0-notice": f"{_UNDER} {_O}a{_E} {_O}the{_E} Creative Commons Attribution{_O}-{_E}ShareAlike 4.0 {_O}International{_E} {_O}Public{_E} License",
+    "gpl-2.0-header": _gnu("GNU General Public License", "2"),
+    "gpl-3.0-header": _gnu("GNU General Public License", "3"),
+    "gpl-3.0-notice": f"{_UNDER} the GNU General Public License{_O},{_E} {_O}as published by the Free Software Foundation, either{_E} version 3{_O} of the License, or (at your option) any later version{_E}",
     "isc": (
-        f"Permission to use, copy, modify, and{_O}/or{_E} distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies."
+        f"Permission to use, copy, modify, and{_O}/or{_E} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        f"THE SOFTWARE IS PROVIDED {_Q}AS IS{_Q} AND <<var;name=who;words=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL <<var;name=who;words=12>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
+    "lgpl-2.1-header": _gnu("GNU Lesser General Public License", "2.1"),
+    "lgpl-3.0-header": _gnu("GNU Lesser General Public License", "3"),
     "mit": (
-        f"{_O}MIT License{_E} {_O}Copyright (c) <<var;name=holder;words=20>>{_E} Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files (the <<var;name=quote;words=1>>Software<<var;name=quote;words=1>>), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+        f"{_O}MIT License{_E} {_O}Copyright (c) {_HOLDER}{_E} Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        f"documentation files (the {_Q}Software{_Q}), to deal in the Software without restriction, including without limitation the rights to use, copy, "
         "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         f"The above copyright notice and this permission notice {_O}(including the next paragraph){_E} shall be included in all copies or substantial portions of the Software. {_NO_WARRANTY}"
     ),
-    "mit-notice": f"{_O}This <<var;name=work;words=4>> is{_E} Released under {_O}the{_E} {_O}terms of the{_E} MIT License",
-    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mit-notice": f"{_UNDER} {_O}the{_E} {_O}terms of the{_E} MIT License",
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<var;name=url;words=8>>"
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "zlib": (
+        f"This software is provided {_Q}as-is{_Q}, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        f"{_O}1{_E} The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        f"{_O}2{_E} Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. {_O}3{_E} This notice may not be removed or altered from any source distribution."
+    ),
 }
 
 _SPLIT = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
