@@ -9,14 +9,14 @@ import numpy as np
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript noembed noframes iframe svg math canvas object audio video title head select textarea button datalist".split())
+SILENT = frozenset("script style template noscript noembed noframes iframe svg canvas audio video title head select textarea datalist".split())
 RAW = frozenset("script style noembed noframes iframe title textarea xmp".split())
 #: Elements that make no nodes and no block bounds, nor does what they hold.
 HIDDEN = frozenset("noscript template svg math select".split())
 FOREIGN = frozenset(("svg", "math"))
 #: Elements in svg and math that hold HTML again.
 HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr button object acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -45,9 +45,11 @@ FEATURES = [*(f"tag {t}" for t in TAGS), *(f"own {g}" for g in TOKENS), *(f"abov
 FEATURES += ["log chars", "log own chars", "link share", "log nodes", "chars a node", "stops", "paragraphs", "depth", "place", "siblings", "siblings of its tag", "share of parent's chars", "link share before", "link share after", "log chars before", "log chars after"]
 _ABOVE = ("article", "main", "nav", "header", "footer", "aside", "form")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S
-)
+_MARKUP = re.compile(r"<(?=[a-zA-Z!?/])")
+_ASIDE = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+_TOKEN = re.compile(_ASIDE + r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: The same where a quotation mark is never closed: a tag ends at the next >.
+_BROKEN = re.compile(_ASIDE + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
@@ -82,10 +84,16 @@ class Page:
         self.parts: list[tuple[int, str | None]] = []
         names, nodes = ["html"], [0]  # open elements
         foreign = [False]  # by open element: whether what stands in it is SVG or MathML
+        where: dict[str, list[int]] = {"html": [0]}  # the places of open elements by name
+        blocks: list[int] = [0]  # the places of open elements that an inline end tag does not close
         fences: list[int] = []  # open elements beyond which no end tag but their own reaches
         lost: dict[str, set[int]] = {}
         links, silent, hidden, open_select, at = 0, 0, 0, 0, 0
-        find = _TOKEN.search
+        token = _TOKEN
+
+        def last(of: tuple[str, ...] | frozenset[str]) -> int:
+            """The place of the last open element of these names; -1: none."""
+            return max((where[x][-1] for x in of if where.get(x)), default=-1)
 
         def text(raw: str) -> None:
             if silent or not raw:
@@ -104,6 +112,9 @@ class Page:
             while len(names) > down_to:
                 name, node = names.pop(), nodes.pop()
                 foreign.pop()
+                where[name].pop()
+                if blocks[-1] == len(names):
+                    blocks.pop()
                 links -= name == "a"
                 silent -= name in SILENT
                 if name not in INLINE and not hidden:
@@ -115,10 +126,22 @@ class Page:
                     open_select = 0
 
         while True:
-            m = find(source, at)
-            if m is None:
+            found = _MARKUP.search(source, at)
+            if found is None:
                 text(source[at:])
                 break
+            m = token.match(source, found.start())
+            if m is None and token is _TOKEN and source.find(">", found.end()) >= 0:
+                if source[found.end()] != "/" or source[found.end() + 1 : found.end() + 2].isalpha():
+                    token = _BROKEN  # quotation marks are of no use from here on: each tag would read to the end again
+                    m = token.match(source, found.start())
+            if m is None:
+                if source.find(">", found.end()) < 0:
+                    text(source[at : found.start()])
+                    break  # a tag that never ends, and nothing after it
+                text(source[at : found.end()])
+                at = found.end()
+                continue
             text(source[at : m.start()])
             at = m.end()
             name = m[2]
@@ -126,10 +149,10 @@ class Page:
                 continue
             name = name.lower()
             if m[1]:
-                if name in names[1:]:
-                    k = len(names) - 1 - names[::-1].index(name)
+                if len(own := where.get(name, ())) > (name == "html"):
+                    k = own[-1]
                     # an inline end tag closes nothing beyond the block it stands in
-                    if not (fences and k < fences[-1]) and (name not in INLINE or all(x in INLINE or f or x in FOREIGN for x, f in zip(names[k + 1 :], foreign[k:], strict=False))):
+                    if not (fences and k < fences[-1]) and (name not in INLINE or blocks[-1] <= k):
                         close(k)
                 elif name == "p" and not hidden:
                     self.parts.append((nodes[-1], None))
@@ -152,26 +175,23 @@ class Page:
                 elif name == "hr":
                     self.parts.append((nodes[-1], None))
                 continue
-            if name in ("html", "body") and len(names) > 1 and name in names:
+            if name in ("html", "body") and len(names) > 1 and where.get(name):
                 continue
             if name == "body":
-                while "head" in names:
-                    close(names.index("head"))
+                while where.get("head"):
+                    close(where["head"][0])
             if name in RAW and not foreign[-1]:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
-            if name in CLOSES_P and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                if all(x in INLINE for x in names[k + 1 :]):
+            if name in CLOSES_P and where.get("p"):
+                k = where["p"][-1]
+                if max(blocks[-1], last(FOREIGN)) <= k:
                     close(k)
             if name in SAME:
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in SAME[name]:
-                        close(k)
-                        if name != "tr":
-                            break
-                    elif names[k] in FENCE[name] or names[k] in HIDDEN:
+                while (k := last(SAME[name])) > max(last(FENCE[name]), last(HIDDEN), 0):
+                    close(k)
+                    if name != "tr":
                         break
             if name in HIDDEN and name not in FOREIGN and not foreign[-1]:
                 if name not in lost:
@@ -203,6 +223,9 @@ class Page:
                     column.append(value)
             else:
                 node = nodes[-1]
+            where.setdefault(name, []).append(len(names))
+            if block and not foreign[-2] and name not in FOREIGN:
+                blocks.append(len(names))
             names.append(name)
             nodes.append(node)
             if block and not hidden:

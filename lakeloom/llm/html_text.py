@@ -42,7 +42,8 @@ def example_page(rng: random.Random) -> str:
         if rng.random() > often:
             return ""
         name = rng.choice(names) + rng.choice(["", "", "-wrap", "-1", "-box", " clearfix", "_inner", "-area"])
-        return f' {rng.choice(["class", "class", "id"])}="{name}"'
+        more = rng.choice(["", "", "", ' data-k="1"', ' style="margin:0"', ' role="presentation"'])
+        return f' {rng.choice(["class", "class", "id"])}="{name}"{more}'
 
     def links(n: int) -> str:
         return "".join(f'<li><a href="/{k}">{words(rng.randint(1, 3), "")}</a></li>' for k in range(n))
@@ -54,6 +55,13 @@ def example_page(rng: random.Random) -> str:
             return f"<p><b>{text}<br>"
         if shape < 0.25:
             return f'<p>{text} <a href="/x">{mark}{words(2, "")}</a> {mark}{words(6)}</p>'
+        if shape < 0.3:
+            inline = rng.choice(["em", "strong", "code", "span", "i", "button", "math"])
+            return f"<p>{text} <{inline}>{mark}{words(2, '')}</{inline}> {mark}{words(7)}</p>"
+        if shape < 0.34:
+            return f"<div>{text}<br><br>{mark}{words(20)}<br>{mark}{words(12)}</div>"
+        if shape < 0.37:
+            return f"<p><span style='color:red'><span>{text}</span></span></p>"
         return f"<p>{text}</p>"
 
     def article() -> str:
@@ -75,7 +83,9 @@ def example_page(rng: random.Random) -> str:
                 out.append(f"<blockquote>{paragraph(m) if rng.random() < 0.5 else m + words(20)}</blockquote>")
             elif kind < 0.95:
                 out.append("<table>" + "".join(f"<tr><td>{m}{words(2, '')}</td><td>{m}{words(3, '')}</td></tr>" for _ in range(3)) + "</table>")
-            elif kind < 0.97:
+            elif kind < 0.96:
+                out.append("<dl>" + "".join(f"<dt>{m}{words(2, '')}</dt><dd>{m}{words(9)}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>" if rng.random() < 0.5 else f"<details><summary>{m}{words(3, '')}</summary>{paragraph(m)}</details>")
+            elif kind < 0.975:
                 out.append(f"<figure><img src=x><figcaption>{m}{words(8)}</figcaption></figure>")
             else:
                 out.append(f"<div>{m}{words(25)}</div>" if rng.random() < 0.5 else f"<pre>{m}{words(12)}</pre>")
@@ -136,8 +146,28 @@ def example_page(rng: random.Random) -> str:
         inner = f"&copy; {words(rng.randint(1, 10), '')} &middot; {words(rng.randint(2, 20))}" if rng.random() < 0.6 else f"<p>{words(rng.randint(3, 25))}</p><ul>{links(3)}</ul>"
         return f"<footer{attribute(['footer', 'bottom'], 0.3)}>{inner}</footer>" if rng.random() < 0.65 else f"<div{attribute(['footer', 'site-footer', 'copyright', 'legal', 'bottom'], 1)}>{inner}</div>"
 
+    def fragment() -> str:
+        """Nothing but an article, with or without the elements of a page around it."""
+        kind = rng.random()
+        inner = MARK + words(rng.randint(3, 80)) if kind < 0.15 else "".join(paragraph(MARK) for _ in range(rng.randint(1, 4))) if kind < 0.7 else article()
+        return inner if rng.random() < 0.5 else f"<html><body>{inner}</body></html>"
+
+    def columns() -> str:
+        """A page laid out by table cells, as was once usual: menu, article, and links at its side."""
+        menu = "".join(f'<a href="/{k}">{words(1, "")}</a><br>' for k in range(rng.randint(3, 9)))
+        body = "".join(rng.choice([paragraph(MARK), f"{MARK}{words(40)}<br><br>"]) for _ in range(rng.randint(2, 6)))
+        head = f"<center><h2>{MARK}{words(4, '')}</h2></center>" if rng.random() < 0.6 else ""
+        return f"<html><body bgcolor=white><table width=100%><tr><td{attribute(['menu', 'nav', 'left'], 0.4)}>{menu}</td><td>{head}{body}</td></tr></table><hr><font size=1>{words(6)}</font></body></html>" if rng.random() < 0.5 else f"<table><tr><td>{menu}</td><td><font size=2>{head}{body}</font></td></tr></table>"
+
+    whole = rng.random()
+    if whole < 0.06:
+        return fragment()
+    if whole < 0.09:
+        return columns()
     tag = rng.choice(["article", "article", "article", "main", "div", "section", "bare"])
     inner = article()
+    if rng.random() < 0.12:
+        inner = "".join(f"<section{attribute(['chapter', 'part', 'block', 'row'], 0.5)}>{article()}</section>" for _ in range(rng.randint(2, 4)))
     if tag == "bare":
         core = inner
     else:
