@@ -52,6 +52,11 @@ def with_hash_index(df: DataFrame, key: str, *ties: str, name: str = "idx") -> D
     return _indexed(placed, _counts(placed), (key, *ties), name)
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """A number whose order is the column's, though unequal values may share one."""
+    return _numbers((name,), dict(df.dtypes))[0]
+
+
 def _numbers(order: tuple[str, ...], kinds: dict[str, str]) -> list[Column]:
     """Numbers whose order, one after the other, is that of the columns as far as they go: a text gives its first 24
     bytes, six at a time, and what comes after it none, as texts may differ further on."""
@@ -61,7 +66,9 @@ def _numbers(order: tuple[str, ...], kinds: dict[str, str]) -> list[Column]:
         if kind in ("string", "binary"):
             raw = F.encode(c, "UTF-8") if kind == "string" else c
             return out + [F.conv(F.rpad(F.hex(F.substring(raw, 1 + 6 * k, 6)), 12, "0"), 16, 10).cast("double") for k in range(4)]
-        number = (c.cast("timestamp") if kind == "date" else c).cast("double")
+        if kind in ("date", "timestamp_ntz"):  # without regard to time zones, whose hours may repeat
+            c = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+        number = c.cast("double")
         out.append(number)
         if kind == "bigint":  # what a double cannot hold of it
             out.append(F.coalesce((c - number.try_cast("bigint")).cast("double"), F.lit(0.0)))

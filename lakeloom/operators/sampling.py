@@ -63,11 +63,11 @@ def interleaved(df: DataFrame, source: str, weights: dict[str, float], *order: s
 
 
 def ranked_in_group(df: DataFrame, group: str, *order: str, ranges: int = ordering.RANGES) -> DataFrame:
-    """Adds rank (from 0) and n: a row's place in its group and the group's rows. The first order column is a number.
+    """Adds rank (from 0) and n: a row's place in its group and the group's rows.
 
     Its quantiles cut all groups into the same ranges, and a range of a group is ordered by itself, so that a hot group
     is spread over tasks; a row a group and range says where the range begins."""
-    value = F.col(order[0]).cast("double")
+    value = ordering.number_of(df, order[0])
     cuts = df.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
     part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < value)) if cuts else F.lit(0)
     placed = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
@@ -80,6 +80,22 @@ def ranked_in_group(df: DataFrame, group: str, *order: str, ranges: int = orderi
     return out.withColumn("rank", F.col("_k") + F.col("_before")).drop("_part", "_g", "_p", "_k", "_before")
 
 
+def running_in_group(df: DataFrame, group: str, value: str, *order: str, ranges: int = ordering.RANGES) -> DataFrame:
+    """Adds steps and total: how many rows of a row's group come up to it, and their values' sum, in an order that begins
+    with a number. Cut into ranges as in ranked_in_group()."""
+    number = ordering.number_of(df, order[0])
+    cuts = df.select(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < number)) if cuts else F.lit(0)
+    placed = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
+    per = placed.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_g", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_nb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_sb"))
+    own = Window.partitionBy(group, "_part").orderBy(*(F.col(c).asc_nulls_first() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn("_k", F.row_number().over(own)).withColumn("_t", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    out = out.join(per, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn("steps", (F.col("_k") + F.col("_nb")).cast("long")).withColumn("total", F.col("_t") + F.col("_sb")).drop("_part", "_g", "_p", "_k", "_t", "_nb", "_sb")
+
+
 def prefix_share(df: DataFrame, group: str, share: float, *order: str) -> DataFrame:
     """The first max(1, floor(n * share)) rows of each group."""
     out = ranked_in_group(df, group, *order)

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.operators.sampling import ranked_in_group
+
 
 def after_warmup(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """Without the first n rows of each group that has more than n."""
-    own = Window.partitionBy(*by)
-    df = df.withColumn("_r", F.row_number().over(own.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(own))
-    return df.where((F.col("_n") <= n) | (F.col("_r") > n)).drop("_r", "_n")
+    """Without the first n rows of each group that has more than n. The first order column is a number."""
+    ranked = ranked_in_group(df.withColumn("_group", F.struct(*by)), "_group", *order)
+    return ranked.where((F.col("n") <= n) | (F.col("rank") >= n)).drop("_group", "rank", "n")
 
 
 def last_k(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
-    """The last k rows of each group."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order))))
-    return ranked.where(F.col("_r") <= k).drop("_r")
+    """The last k rows of each group. The first order column is a number."""
+    ranked = ranked_in_group(df.withColumn("_group", F.struct(*by)), "_group", *order)
+    return ranked.where(F.col("rank") >= F.col("n") - k).drop("_group", "rank", "n")
 
 
 def stragglers(df: DataFrame, by: list[str], worker: str, value: str, limit: float = 1.5) -> DataFrame:
@@ -49,8 +50,9 @@ def parabola(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     vertex inside the data, and its value within half the data's range beyond it. Needs three different x.
 
     Sums of powers of x about its group's mean make the 3 x 3 normal equations, solved by Cramer's rule."""
-    own = Window.partitionBy(*by)
-    d = df.where(f"{x} is not null and {y} is not null").withColumn("_m", F.avg(x).over(own)).withColumn("_x", F.col(x) - F.col("_m"))
+    d = df.where(f"{x} is not null and {y} is not null")
+    means = d.groupBy(F.struct(*by).alias("_of")).agg(F.avg(x).alias("_m"))  # a row a group
+    d = d.join(means, F.struct(*by).eqNullSafe(F.col("_of"))).withColumn("_x", F.col(x) - F.col("_m"))
     s = lambda k: F.sum(F.pow("_x", F.lit(float(k))))
     t = lambda k: F.sum(F.pow("_x", F.lit(float(k))) * F.col(y))
     g = d.groupBy(*by).agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
 from lakeloom.operators import audit, curation, metrics, mixture, ordering, telemetry
+from lakeloom.operators.sampling import ranked_in_group, running_in_group
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,8 +100,8 @@ SELECT o_orderkey, o_custkey, CAST(place AS BIGINT) AS place FROM o
 """
 )
 def longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.row_number().over(own) - 1).cast("long").alias("place"))
+    d = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (-F.col("o_totalprice")).alias("cost"))
+    return ranked_in_group(d, "o_custkey", "cost", "o_orderkey").select("o_orderkey", "o_custkey", F.col("rank").cast("long").alias("place"))
 
 
 # ---- mixtures ----------------------------------------------------------------------------------------------------
@@ -569,8 +570,8 @@ SELECT event_id, user_id, CAST(row_number() OVER w AS BIGINT) AS steps, round(su
 """
 )
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf_dir, "events").select("event_id", "user_id", F.count(F.lit(1)).over(own).alias("steps"), F.round(F.sum("value").over(own), 4).alias("total"))
+    d = running_in_group(t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), "user_id", "value", "ts", "event_id")
+    return d.select("event_id", "user_id", "steps", F.round("total", 4).alias("total"))
 
 
 @query(
@@ -584,7 +585,17 @@ def power_law_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.power_law(p, ["g"], "x", "y").withColumns({"exponent": F.round("exponent", 5), "log_factor": F.round("log_factor", 5)})
 
 
-@query()
+@query(
+    """
+WITH p AS (SELECT l_suppkey % 5 AS g, l_quantity::DOUBLE AS x, ln(avg(l_extendedprice)::DOUBLE) + (l_quantity::DOUBLE - 20) * (l_quantity::DOUBLE - 20) AS y FROM lineitem GROUP BY l_suppkey % 5, l_quantity),
+m AS (SELECT g, avg(x) AS m, min(x) AS lo, max(x) AS hi, min(y) AS y_lo, max(y) AS y_hi, count(DISTINCT x) AS points FROM p GROUP BY g), d AS (SELECT g, x - m AS x, (x - m) * (x - m) AS q, y FROM p JOIN m USING (g)),
+z AS (SELECT g, avg(q) AS mq, avg(x) AS mx, avg(y) AS my FROM d GROUP BY g), s AS (SELECT g, sum((x - mx) * (x - mx)) AS xx, sum((q - mq) * (q - mq)) AS qq, sum((x - mx) * (q - mq)) AS xq, sum((x - mx) * (y - my)) AS xy, sum((q - mq) * (y - my)) AS qy, any_value(mq) AS mq, any_value(mx) AS mx, any_value(my) AS my FROM d JOIN z USING (g) GROUP BY g),
+f AS (SELECT g, (qy * xx - xy * xq) / (qq * xx - xq * xq) AS a, (xy * qq - qy * xq) / (qq * xx - xq * xq) AS b0, mq, mx, my FROM s), h AS (SELECT *, my - a * mq - b0 * mx AS c0 FROM f),
+v AS (SELECT *, CASE WHEN a > 1e-12 THEN m - b0 / (2 * a) END AS vertex, CASE WHEN a > 1e-12 THEN c0 - b0 * b0 / (4 * a) END AS value FROM h JOIN m USING (g))
+SELECT CAST(g AS BIGINT) AS g, CAST(points AS BIGINT) AS points, round(a, 5) AS a, round(b0 - 2 * a * m, 5) AS b, round(c0 - b0 * m + a * m * m, 5) AS c, round(vertex, 5) AS vertex, round(value, 5) AS value,
+  coalesce(a > 1e-12 AND vertex BETWEEN lo AND hi AND value BETWEEN y_lo - 0.5 * (y_hi - y_lo) AND y_hi + 0.5 * (y_hi - y_lo), false) AS trusted FROM v WHERE points >= 3
+"""
+)
 def quadratic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).cast("long").alias("g"), F.col("l_quantity").cast("double").alias("x")).agg(F.avg("l_extendedprice").cast("double").alias("y"))
     p = p.withColumn("y", F.pow(F.col("x") - 20, F.lit(2.0)) + F.log("y"))
