@@ -326,3 +326,22 @@ def _near(threshold: float):
         return pd.Series(estimate(x, y) >= threshold)
 
     return near("siga", "sigb")
+
+
+def near_duplicates_sql(words: int = 2, percent: int = 80) -> str:
+    """The same for DuckDB over documents with distinct ids, by a join of all shingles: for small tables."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {words} + 2), lambda i: {" || ' ' || ".join(f"w[i + {k}]" for k in range(words))})) END AS g FROM w
+), s AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS g FROM g WHERE doc_id IS NOT NULL
+), e AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id
+), m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c AS component_id, coalesce(doc_id = c, true) AS kept FROM g LEFT JOIN m USING (doc_id)
+"""

@@ -15,7 +15,7 @@ from lakeloom.llm.html_text import extract_text
 from lakeloom.llm.license_scan import license_sql, scan_licenses
 from lakeloom.llm.media import read_media, store_media
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
-from lakeloom.llm.near_dedup import near_duplicates
+from lakeloom.llm.near_dedup import near_duplicates, near_duplicates_sql
 from lakeloom.llm.quality_crf import QualityModel, score_quality, train_quality
 from lakeloom.llm.token_files import token_table
 from lakeloom.llm.warc import WARC_SQL, warc_round_trip
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_template_licenses": license_sql(), "op5_pareto_mixing": MIX_SQL, "op6_branch_and_bound_topk": TOPK_SQL, "op10_chunked_warc": WARC_SQL}
+    return {"op2_minhash_near_dedup": near_duplicates_sql(), "op3_template_licenses": license_sql(), "op5_pareto_mixing": MIX_SQL, "op6_branch_and_bound_topk": TOPK_SQL, "op10_chunked_warc": WARC_SQL}
