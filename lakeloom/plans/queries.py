@@ -650,36 +650,36 @@ def sequence_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- curation and rules ------------------------------------------------------------------------------------------
 
-_RECORD = """concat('ENTRY       N', n_nationkey, chr(10), 'NAME        ', n_name, chr(10), 'VARIANT     ', n_nationkey, 'v1 (first) ', n_regionkey, 'v2', chr(10), '            ', n_nationkey, 'v1 again ', n_nationkey, 'v3', chr(10), chr(10), 'GENE        7157 TP53')"""
+_RECORD = """concat('ENTRY       N', o_orderkey, chr(10), 'NAME        ', o_orderpriority, chr(10), 'VARIANT     ', o_orderkey, 'v1 (first) ', o_custkey, 'v2', chr(10), '            ', o_orderkey, 'v1 again ', o_orderkey, 'v3', chr(10), chr(10), 'GENE        7157 TP53')"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "nation").select("n_nationkey", F.expr(_RECORD).alias("record"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", F.expr(_RECORD).alias("record"))
 
 
 _FIELDS = rf"""
-r AS (SELECT n_nationkey, {_RECORD} AS record FROM nation),
-l AS (SELECT n_nationkey, CAST(i - 1 AS INT) AS line, raw FROM (SELECT n_nationkey, unnest(string_split(record, chr(10))) AS raw, generate_subscripts(string_split(record, chr(10)), 1) AS i FROM r) WHERE trim(raw) <> ''),
+r AS (SELECT o_orderkey, {_RECORD} AS record FROM orders),
+l AS (SELECT o_orderkey, CAST(i - 1 AS INT) AS line, raw FROM (SELECT o_orderkey, unnest(string_split(record, chr(10))) AS raw, generate_subscripts(string_split(record, chr(10)), 1) AS i FROM r) WHERE trim(raw) <> ''),
 n AS (SELECT *, nullif(regexp_extract(raw, '^(\S+)', 1), '') AS named FROM l),
-f AS (SELECT n_nationkey, line, last_value(named IGNORE NULLS) OVER (PARTITION BY n_nationkey ORDER BY line) AS field, trim(CASE WHEN named IS NOT NULL THEN regexp_replace(raw, '^\S+', '') ELSE raw END) AS value FROM n)
+f AS (SELECT o_orderkey, line, last_value(named IGNORE NULLS) OVER (PARTITION BY o_orderkey ORDER BY line) AS field, trim(CASE WHEN named IS NOT NULL THEN regexp_replace(raw, '^\S+', '') ELSE raw END) AS value FROM n)
 """
 
 
 @query(f"WITH {_FIELDS} SELECT * FROM f")
 def flatfile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curation.record_fields(_records(spark, sf_dir), "n_nationkey", "record")
+    return curation.record_fields(_records(spark, sf_dir), "o_orderkey", "record")
 
 
 @query(
     rf"""
-WITH {_FIELDS}, x AS (SELECT n_nationkey, line, regexp_extract_all(value, '\d+v\d+') AS ts FROM f WHERE field = 'VARIANT'), u AS (SELECT n_nationkey, line, unnest(ts) AS token, generate_subscripts(ts, 1) AS nth FROM x),
-m AS (SELECT n_nationkey, token, min(line * 1000 + nth) AS first FROM u GROUP BY ALL)
-SELECT n_nationkey, token, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY first) - 1 AS BIGINT) AS place FROM m
+WITH {_FIELDS}, x AS (SELECT o_orderkey, line, regexp_extract_all(value, '\d+v\d+') AS ts FROM f WHERE field = 'VARIANT'), u AS (SELECT o_orderkey, line, unnest(ts) AS token, generate_subscripts(ts, 1) AS nth FROM x),
+m AS (SELECT o_orderkey, token, min(line * 1000 + nth) AS first FROM u GROUP BY ALL)
+SELECT o_orderkey, token, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY first) - 1 AS BIGINT) AS place FROM m
 """
 )
 def variant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = curation.record_fields(_records(spark, sf_dir), "n_nationkey", "record")
-    return curation.variant_tokens(fields.where("field = 'VARIANT'"), "n_nationkey")
+    fields = curation.record_fields(_records(spark, sf_dir), "o_orderkey", "record")
+    return curation.variant_tokens(fields.where("field = 'VARIANT'"), "o_orderkey")
 
 
 _SPDI = "concat('NC_', l_suppkey, ':', CASE WHEN l_linenumber = 3 THEN 'x' ELSE CAST(l_partkey AS VARCHAR(20)) END, ':A:', CASE WHEN l_linenumber = 5 THEN 'G:T' ELSE 'G' END)"

@@ -9,7 +9,7 @@ from lakeloom.functions import samples as S
 from lakeloom.functions import similarity
 from lakeloom.operators import audit, matching, sampling
 from lakeloom.plans.queries import next_turn_pairs, query, r6, t
-from lakeloom.sources.manifests import shard_names
+from lakeloom.sources.manifests import discovered, shard_names
 
 
 @query(
@@ -41,11 +41,11 @@ def number_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("l_orderkey", "l_linenumber", F.when(F.col("v").isNotNull(), F.size("v")).cast("long").alias("n"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT n_regionkey, 'key | name' || chr(10) || string_agg(concat(n_nationkey, ' | ', left(n_name, 5)), chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey")
+@query("SELECT l_orderkey, 'line | part' || chr(10) || string_agg(concat(l_linenumber, ' | ', left(concat('P', l_partkey * 1000), 5)), chr(10) ORDER BY l_linenumber, l_partkey) AS text FROM lineitem GROUP BY l_orderkey")
 def table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("cells"))
-    d = t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return d.select("n_regionkey", S.table_text(F.array(F.lit("key"), F.lit("name")), F.col("rows.cells"), 5).alias("text"))
+    row = F.struct("l_linenumber", "l_partkey", F.array(F.col("l_linenumber").cast("string"), F.concat(F.lit("P"), (F.col("l_partkey") * 1000).cast("string"))).alias("cells"))
+    d = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # the lines of one order
+    return d.select("l_orderkey", S.table_text(F.array(F.lit("line"), F.lit("part")), F.col("rows.cells"), 5).alias("text"))
 
 
 @query(r"SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('/abs/', page_id) WHEN 1 THEN concat('/data/images/', page_id, '.png') ELSE '/data/' || regexp_extract(url, '[^/]*$') END AS path FROM pages")
@@ -182,15 +182,40 @@ def qualification_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH m AS (SELECT replace(n_name, ' ', '-') AS dataset, n_nationkey % 5 AS train, n_nationkey % 3 AS val FROM nation), s AS (SELECT *, unnest(range(train + val)) AS k FROM m)
+WITH m AS (SELECT replace(o_orderpriority, ' ', '-') || '-' || o_orderkey AS dataset, o_orderkey % 5 AS train, o_custkey % 3 AS val FROM orders), s AS (SELECT *, unnest(range(train + val)) AS k FROM m)
 SELECT dataset, CASE WHEN k < train THEN 'train' ELSE 'val' END AS split, CAST(k AS INT) AS k, printf('%s-%06d.tar', dataset, k) AS name FROM s
 """
 )
 def manifest_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = t(spark, sf_dir, "nation").select(F.translate("n_name", " ", "-").alias("dataset"), (F.col("n_nationkey") % 5).cast("int").alias("train"), (F.col("n_nationkey") % 3).cast("int").alias("val"))
+    name = F.concat_ws("-", F.translate("o_orderpriority", " ", "-"), F.col("o_orderkey").cast("string"))
+    m = t(spark, sf_dir, "orders").select(name.alias("dataset"), (F.col("o_orderkey") % 5).cast("int").alias("train"), (F.col("o_custkey") % 3).cast("int").alias("val"))
     return shard_names(m, "dataset", "train", "val")
 
 
+@query(
+    """
+WITH o AS (SELECT 'set_' || o_orderkey AS dataset, o_orderkey AS i FROM orders),
+f AS (SELECT dataset, i, unnest(CASE WHEN i % 3 = 0 THEN ['a.tar', 'c.tar', 'b.tar'] WHEN i % 2 = 0 THEN ['shard-000000.tar', 'shard-000001.tar'] ELSE ['set-' || i || '-000000.tar', 'set-' || i || '-000001.tar'] END) AS name FROM o),
+n AS (SELECT dataset, i, CASE WHEN i % 3 = 0 AND i % 7 <> 0 THEN ['c.tar', 'gone.tar', 'a.tar', 'b.tar'][1:CASE WHEN i % 5 = 0 THEN 4 ELSE 3 END] WHEN i % 7 = 0 THEN (CASE WHEN i % 3 = 0 THEN ['a.tar', 'b.tar', 'c.tar'] WHEN i % 2 = 0 THEN ['shard-000000.tar', 'shard-000001.tar'] ELSE ['set-' || i || '-000000.tar', 'set-' || i || '-000001.tar'] END)
+  WHEN i % 2 = 0 THEN ['shard-000000.tar', 'shard-000001.tar', 'shard-000002.tar'] ELSE ['set-' || i || '-000000.tar', 'set-' || i || '-000001.tar', 'set-' || i || '-000002.tar'] END AS names FROM o),
+u AS (SELECT dataset, unnest(names) AS name, generate_subscripts(names, 1) AS k FROM n)
+SELECT u.dataset, CAST(row_number() OVER (PARTITION BY u.dataset ORDER BY k) - 1 AS INT) AS k, u.name FROM u JOIN f ON f.dataset = u.dataset AND f.name = u.name
+"""
+)
+def discovered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets whose manifests list their shards, count them under one name or another, or say nothing."""
+    i, null = F.col("o_orderkey"), F.lit(None)
+    tar = lambda *names: F.array(*(F.lit(f"{n}.tar") for n in names))
+    own = lambda *ks: F.array(*(F.format_string(f"set-%d-{k:06d}.tar", i) for k in ks))
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("set_"), i.cast("string")).alias("dataset"))
+    files = o.select("dataset", F.explode(F.when(i % 3 == 0, tar("a", "c", "b")).when(i % 2 == 0, tar("shard-000000", "shard-000001")).otherwise(own(0, 1))).alias("name"))
+    silent = i % 7 == 0
+    manifests = o.select(
+        "dataset", F.when((i % 3 == 0) & ~silent, tar("c", "gone", "a", "b")).alias("shards"), F.when((i % 5 == 0) & ~silent, 3).alias("num_train_shards"), F.when((i % 3 != 0) & ~silent & (i % 5 != 0), 3).alias("num_shards"), null.cast("int").alias("train_shards"), null.cast("int").alias("total_shards"), F.lit(3).alias("configured")
+    )
+    return discovered(manifests, files).select("dataset", "k", "name")
+
+
 @query(
     """
 WITH d AS (SELECT sha256(concat('+', doc_id, chr(31), coalesce('+' || lang, '-'), chr(31), coalesce('+' || source, '-'))) AS h FROM documents),
