@@ -3,7 +3,8 @@
 Tier one: a minimal perfect hash over the vocabulary (hash and displace: one small displacement for each bucket of
 keys, one slot for each key) answers whole pre-tokens that are vocabulary entries. Tier two: any other pre-token is
 a doubly linked list of byte pieces, and a heap of mergeable neighbours by (rank, position) merges the lowest first.
-Results of both tiers are kept in a table of at most ``MEMO`` pre-tokens a task.
+Results of both tiers are kept in a table of at most twice ``MEMO`` pre-tokens a task, none of them longer than
+``MEMO_CHARS``; the half not asked for lately is forgotten.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import slices
 
-MEMO = 1_000_000
+MEMO, MEMO_CHARS = 200_000, 64
 _BUCKET_KEYS = 3
 
 
@@ -86,18 +87,24 @@ class Encoder(dict):
 
     def __init__(self, tokens: list[bytes], pattern: str, whole: PerfectHash | None = None, memo: int = MEMO) -> None:
         super().__init__()
-        self.tokens, self.memo = tokens, memo
+        self.tokens, self.memo, self.older = tokens, memo, {}
         self.whole = whole or PerfectHash(tokens)
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.pattern = regex.compile(pattern)
 
     def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.memo:
+            self.older = dict(self)
+            self.clear()
+        if (out := self.older.get(word)) is not None:
+            self[word] = out
+            return out
         raw = word.encode("utf-8", "surrogatepass")
         i = self.whole.find(raw)
         ids = [i] if i >= 0 else self._merged(raw)
-        if len(self) >= self.memo:
-            self.clear()
-        out = self[word] = np.array(ids, dtype="<u4").tobytes()
+        out = np.array(ids, dtype="<u4").tobytes()
+        if len(word) <= MEMO_CHARS:
+            self[word] = out
         return out
 
     def _merged(self, raw: bytes) -> list[int]:
