@@ -232,3 +232,9 @@ def matching_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of matching blocks of neighbouring turns, by words and by characters."""
     d = next_turn_pairs(spark, sf_dir)
     return d.select("conv_id", "turn", r6(similarity.block_f1("text", "next_text")).alias("by_words"), r6(similarity.ratio("text", "next_text")).alias("by_characters"))
+
+
+@query()
+def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What turns each part's type into its name."""
+    return t(spark, sf_dir, "part").select("p_partkey", similarity.edit_counts(F.lower("p_type"), F.col("p_name")).alias("e")).select("p_partkey", "e.*")

@@ -12,6 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.functions.samples import split_answer
 from lakeloom.operators.ordering import with_index
 
 _PARTS = pa.map_(pa.string(), pa.binary())
@@ -62,6 +63,38 @@ def read_samples(spark: SparkSession, path: str, split: str = "last", suffixes:
     return shards.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(scan, "shard string, place long, key string, parts map<string,binary>")
 
 
+def merged_samples(samples: DataFrame) -> DataFrame:
+    """(key, parts) of samples wherever their members stand: of equal extensions of a key the last shard's, and there the
+    last, counts."""
+    each = samples.select("key", "shard", "place", F.explode("parts").alias("extension", "content"))
+    last = each.groupBy("key", "extension").agg(F.max_by("content", F.struct("shard", "place")).alias("content"))
+    return last.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("extension", "content"))).alias("parts"))  # a sample's parts
+
+
+def question_samples(spark: SparkSession, path: str, series: str = "ts.npy", text: str = "text") -> DataFrame:
+    """(key, series, question, answer) of samples that have both parts, names cut at their first dot; the text is cut at
+    its first ``Answer:``."""
+    rows = read_samples(spark, path, split="first").withColumn("_t", F.decode(F.try_element_at("parts", F.lit(text)), "UTF-8")).withColumn("series", F.try_element_at("parts", F.lit(series)))
+    return rows.where("_t is not null and series is not null").select("key", "series", split_answer(F.col("_t")).alias("q")).select("key", "series", "q.question", "q.answer")
+
+
+def sampled_lengths(samples: DataFrame, most: int, extension: str = "txt") -> DataFrame:
+    """(shard, key, bytes): the size of a part of the first ``most`` samples of each shard, by their place in it."""
+    return samples.where(F.col("place") < most).select("shard", "key", F.octet_length(F.try_element_at("parts", F.lit(extension))).alias("bytes"))
+
+
+def shard_manifest(shards: DataFrame, dataset: str, sources: DataFrame | None = None) -> DataFrame:
+    """One row: a manifest's dataset, counts, and its shards in order as JSON, from rows (shard, samples, bytes), and how
+    many samples each of ``sources`` (source, n) gave. A row a shard comes together in one."""
+    out = shards.agg(
+        F.lit(dataset).alias("dataset"), F.count(F.lit(1)).alias("num_shards"), F.coalesce(F.sum("samples"), F.lit(0)).alias("total_samples"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size_bytes"),
+        F.to_json(F.array_sort(F.collect_list(F.struct(F.col("shard").alias("name"), "samples", F.col("bytes").alias("size_bytes"))))).alias("shards"),
+    )
+    if sources is None:
+        return out
+    return out.join(sources.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n"))))).alias("source_counts")))  # one row each
+
+
 def write_shards(samples: DataFrame, folder: str, order: str, per_shard: int = 1000, parts: str = "parts", prefix: str = "shard") -> DataFrame:
     """Writes tar files of ``per_shard`` samples in the order of the number ``order`` and returns (shard, first, samples,
     bytes) of each. Keys are places as ``%08d``; a sample without parts leaves its key out. Files are renamed when whole."""

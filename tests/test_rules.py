@@ -176,3 +176,32 @@ def test_odd_rows(spark):
     assert [r.r for r in texts.select(records.row_label("x", F.col("p")).alias("r")).collect()] == ["[x] unknown", "[x] ", "[x] a b"]
     images = spark.createDataFrame([(1, "g", 0, [1.0]), (2, "h", 15, [2.0]), (3, "h", -1, [2.0]), (4, "h", 1, [40.0]), (5, "g", 0, [1.0])], "id int, g string, bits long, means array<double>")
     assert [tuple(r) for r in pairing.near_images(images, "id", "g", "bits", "means").collect()] == [(1, 2, 4)]
+
+
+def test_samples_wherever_their_members_stand(spark, tmp_path):
+    from lakeloom.sources import tar
+
+    (tmp_path / "a.tar").write_bytes(_tar({"k1.txt": b"old", "k2.txt": b"two", "k1.head.jpg": b"h"}))
+    (tmp_path / "b.tar").write_bytes(_tar({"k1.txt": b"new"}))
+    rows = tar.read_samples(spark, f"file://{tmp_path}", suffixes=("head.jpg",)).cache()
+    merged = {r.key: {k: bytes(v) for k, v in r.parts.items()} for r in tar.merged_samples(rows).collect()}
+    assert merged == {"k1": {"txt": b"new", "head.jpg": b"h"}, "k2": {"txt": b"two"}}
+    assert {(r.shard, r.key, r.bytes) for r in tar.sampled_lengths(rows, 1).collect()} == {("a.tar", "k1", 3), ("b.tar", "k1", 3)}
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    (asked / "q.tar").write_bytes(_tar({"1.ts.npy": b"x", "1.text": b"Question: why? Answer: so Answer: on", "2.text": b"alone"}))
+    assert [(r.key, bytes(r.series), r.question, r.answer) for r in tar.question_samples(spark, f"file://{asked}").collect()] == [("1", b"x", "why?", "so Answer: on")]
+    shards = spark.createDataFrame([("s-1.tar", 3, 30), ("s-0.tar", 5, 50)], "shard string, samples long, bytes long")
+    got = tar.shard_manifest(shards, "d", spark.createDataFrame([("x", 8)], "source string, n long")).first()
+    assert (got.num_shards, got.total_samples, got.source_counts) == (2, 8, '{"x":8}') and got.shards.startswith('[{"name":"s-0.tar"')
+
+
+def test_a_log_is_appended_once(spark, tmp_path):
+    from lakeloom.streaming.logs import append_log
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.jsonl").write_text('{"i": 1}\n{"i": 2}\nbroken\n')
+    for _ in range(2):  # a second call finds nothing new
+        append_log(spark, f"file://{source}", f"file://{tmp_path}/log", f"file://{tmp_path}/log-c", "i long")
+        assert sorted(r.i for r in spark.read.parquet(f"file://{tmp_path}/log").collect()) == [1, 2]
