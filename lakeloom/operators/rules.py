@@ -75,6 +75,17 @@ def compatible(presets: DataFrame, designs: DataFrame, needs: str, offers: str,
     return presets.join(F.broadcast(designs), (F.size(F.array_except(needs, offers)) == 0) & (F.size(F.array_except(requires, needs)) == 0))
 
 
+def in_modalities(modality: Column, requested: list[str]) -> Column:
+    """Whether a staged set's modality is among those asked for; none asked for lets all pass."""
+    return F.coalesce(F.lower(modality).isin(*(m.lower() for m in requested)), F.lit(False)) if requested else F.lit(True)
+
+
+def changed_since(rows: DataFrame, since: Column, sweep: str | None = None, wanted: str | None = None) -> DataFrame:
+    """The rows of files changed at or after a time, of one sweep if it is named. rows: read from files by Spark."""
+    kept = rows.where(F.col("_metadata.file_modification_time") >= since)
+    return kept if sweep is None else kept.where(F.col(sweep) == wanted)
+
+
 def retention(df: DataFrame, kept: Column, *by: str) -> DataFrame:
     """By group: rows, kept, and the share kept (0 without rows)."""
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.coalesce(kept.cast("long"), F.lit(0))), F.lit(0)).alias("kept"))

@@ -205,3 +205,13 @@ def test_a_log_is_appended_once(spark, tmp_path):
     for _ in range(2):  # a second call finds nothing new
         append_log(spark, f"file://{source}", f"file://{tmp_path}/log", f"file://{tmp_path}/log-c", "i long")
         assert sorted(r.i for r in spark.read.parquet(f"file://{tmp_path}/log").collect()) == [1, 2]
+
+
+def test_modality_and_file_time(spark, tmp_path):
+    df = spark.createDataFrame([("Image",), (None,), ("text",)], "m string")
+    assert [r.m for r in df.where(rules.in_modalities(F.col("m"), ["image"])).collect()] == ["Image"]
+    assert df.where(rules.in_modalities(F.col("m"), [])).count() == 3
+    (tmp_path / "a.json").write_text('{"s": "x"}\n{"s": "y"}\n')
+    rows = spark.read.schema("s string").json(f"file://{tmp_path}")
+    assert [r.s for r in rules.changed_since(rows, F.lit("2000-01-01").cast("timestamp"), "s", "x").collect()] == ["x"]
+    assert rules.changed_since(rows, F.lit("2999-01-01").cast("timestamp")).count() == 0
