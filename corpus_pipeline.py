@@ -19,7 +19,10 @@ from lakeloom.llm.queries import quality_model
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good; it learns from the labels outside the held-out fold."""
+    """Documents that the classifier predicts to be good; it learns from the labels outside the held-out fold.
+
+    A null or empty text is scored as one empty line; rows that repeat get one decision; without labelled texts every
+    score is 0.5 and all stay; an empty table gives an empty one. Only the text decides."""
     model = quality_model(spark, sf_dir, table(spark, sf_dir, "documents"))
     return score_quality(docs, model).where("score >= 0.5").select("row.*")
 
@@ -31,12 +34,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, twice at most.
+
+    Null sources are a source, null ids count as one id, rows with the same id and size are taken in part where only some
+    fit; texts without words (null and empty ones too) are taken never; an empty table gives an empty one."""
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each row's ids and of what they decode to."""
+    """Token counts and digests of each row's ids and of what they decode to: doc_id, n_tokens, ids_sha256 and
+    decoded_sha256. A null or empty text has no ids; null ids and repeated rows stay; an empty table gives an empty one."""
     out = bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

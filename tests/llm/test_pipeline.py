@@ -105,6 +105,8 @@ def test_stages_take_empty_and_odd_tables(spark):
     schema = table(spark, SF, "documents").schema
     none = spark.createDataFrame([], schema)
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0)], schema)
-    for _, stage in corpus_pipeline.STAGES:
+    # empty texts get one decision, are near copies of nothing, are never mixed in, and have no ids
+    expected = {"quality": {0, 3}, "near_dedup": {3}, "mix": {0}, "tokens": {3}}
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
-        assert stage(spark, odd, SF).select(F.count(F.lit(1))).first()[0] <= 4
+        assert stage(spark, odd, SF).select(F.count(F.lit(1))).first()[0] in expected[name]
