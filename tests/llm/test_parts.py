@@ -110,7 +110,7 @@ def test_templates():
     [
         "<svg/>", '<svg class="i" viewBox="0 0 9 9" />', "<MATH/>", "<svg><path d='M0'/><title/><g><svg/></g></svg>", '<svg href="?a=b"/>',  # closed at once
         "<svg><svg><text>x</text></svg><text>x</text></svg>", "<svg><title>x</title><desc><p>x</p></desc><style>x</style></svg>", "<svg><foreignObject><div>x</div></foreignObject>x</svg>",  # nested
-        "<math><mi>x</mi></math>", "<select><option>x<option selected>x</select>", "<select><div>x</div></p></article>x</select>",
+        "<select><option>x<option selected>x</select>", "<select><div>x</div></p></article>x</select>",
         "<template><li>x<p>x</template>", "<template><template>x</template></article>x</template>", "<noscript><img src=a>x</article></noscript>",
         "<script>'<select>' + '<svg>'</script>", "<textarea><svg></textarea>", "<style><math></style>", "<!-- <template> -->",  # no tags there
     ],
@@ -124,7 +124,7 @@ def test_hidden_elements_end_where_html_ends_them(part):
     assert page.text([True] * len(page.parent)) == "three\nfour"
 
 
-@pytest.mark.parametrize("part", ["<svg><path>x", "<svg><g><text>x", "<math><mi>x</mi>", "<svg class=x/>x", "<select><option>x<option>x", "<select>x<select><option>x", "<span><svg>x</span>", "<noscript>", "<template>"])
+@pytest.mark.parametrize("part", ["<svg><path>x", "<svg><g><text>x", "<svg class=x/>x", "<select><option>x<option>x", "<select>x<select><option>x", "<span><svg>x</span>", "<noscript>", "<template>"])
 def test_unclosed_hidden_elements_do_not_take_the_rest(part):
     for behind in ("<p>two</p>three", "<section>two<p>three</section>", "<h2>two</h2><select><option>x</select><svg/>three<noscript>x</noscript><template>x</template>"):
         page = Page(f"<div>one</div><div>{part}{behind}</div>")
@@ -133,6 +133,15 @@ def test_unclosed_hidden_elements_do_not_take_the_rest(part):
         assert page.text([True] * len(page.parent)) == "one\ntwo\nthree"
 
 
+def test_formulas_stay_in_their_line():
+    """The text of a formula is the article's, and makes no nodes; one that is not closed does not take the rest."""
+    for part in ("<math><mi>x</mi></math>", "<math><mi>x</mi>"):
+        page = Page(f"<article><ul><li>one {part} two</ul><p>three</p></article><p>four")
+        assert page.text([True] * len(page.parent)).split() == ["one", "x", "two", "three", "four"]
+        assert len(page.parent) == len(Page("<article><ul><li>one two</ul><p>three</p></article><p>four").parent)
+    assert Page("<p>one <math><mi>x</mi></math> two</p>").text([True] * 2) == "one x two"
+
+
 def test_hierarchical_choice():
     # the root's child 1 is bad but holds a very good node; child 3 is good and holds a bad one
     parent, odds = [-1, 0, 1, 0, 3], np.array([1.0, -1.0, 3.0, 2.0, -1.0])
