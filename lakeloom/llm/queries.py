@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm.byte_bpe import bpe_encode
+from lakeloom.llm.centroid_clusters import CLUSTER_SQL, centroid_clusters
 from lakeloom.llm.common import table
 from lakeloom.llm.exact_topk import TOPK_SQL, exact_topk
+from lakeloom.llm.fill_in_middle import FIM_SQL, fill_in_middle
 from lakeloom.llm.html_text import extract_text
 from lakeloom.llm.license_scan import license_sql, scan_licenses
 from lakeloom.llm.media import read_media, store_media
 from lakeloom.llm.mixing import MIX_SQL, mix_sources
 from lakeloom.llm.near_dedup import near_duplicates, near_duplicates_sql
+from lakeloom.llm.piece_bpe import piece_encode
 from lakeloom.llm.quality_crf import QualityModel, score_quality, train_quality
 from lakeloom.llm.token_files import token_table
 from lakeloom.llm.warc import WARC_SQL, warc_round_trip
@@ -76,9 +79,24 @@ def op10_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"], texts=False)
+    return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], decode=True)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("row.doc_id", "n_tokens", digest(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op3_template_licenses, op4_ranked_token_files, op5_pareto_mixing, op6_branch_and_bound_topk, op7_lossless_webp, op8_two_tier_byte_bpe, op9_boosted_html_text, op10_chunked_warc)}
+    return {f.__name__: f for f in (op1_crf_quality, op2_minhash_near_dedup, op3_template_licenses, op4_ranked_token_files, op5_pareto_mixing, op6_branch_and_bound_topk, op7_lossless_webp, op8_two_tier_byte_bpe, op9_boosted_html_text, op10_chunked_warc, op11_annulus_clusters, op12_fill_in_middle, op13_prefix_table_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": near_duplicates_sql(), "op3_template_licenses": license_sql(), "op5_pareto_mixing": MIX_SQL, "op6_branch_and_bound_topk": TOPK_SQL, "op10_chunked_warc": WARC_SQL}
+    return {"op2_minhash_near_dedup": near_duplicates_sql(), "op3_template_licenses": license_sql(), "op5_pareto_mixing": MIX_SQL, "op6_branch_and_bound_topk": TOPK_SQL, "op10_chunked_warc": WARC_SQL, "op11_annulus_clusters": CLUSTER_SQL, "op12_fill_in_middle": FIM_SQL}
