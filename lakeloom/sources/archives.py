@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
 import io
@@ -11,37 +12,53 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.operators.ordering import with_index
-
-#: Bytes of a tar block.
-BLOCK = 512
+#: Bytes of a tar block, and of an archive that one task reads members of.
+BLOCK, RUN_BYTES = 512, 1 << 28
 
 
 class _Parts(io.RawIOBase):
-    """The bytes of several files, one after the other."""
-
-    def __init__(self, uris: list[str]) -> None:
-        self.rest, self.now = list(uris), None
+    """The bytes of several files, one after the other, or a window of them; files are opened as they are read."""
+
+    def __init__(self, uris: list[str], start: int = 0, size: int | None = None) -> None:
+        self.files, self.first, self.open, self.at = [], [], {}, 0
+        end = 0
+        for uri in uris:
+            system, path = fs.FileSystem.from_uri(uri)
+            self.files.append((system, path))
+            self.first.append(end)
+            end += system.get_file_info(path).size
+        self.start, self.size = start, end - start if size is None else size
+        self.first.append(end)
 
     def readable(self) -> bool:
         return True
 
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = max(0, offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.size}[whence])
+        return self.at
+
     def readinto(self, buffer) -> int:
-        while True:
-            if self.now is None:
-                if not self.rest:
-                    return 0
-                system, path = fs.FileSystem.from_uri(self.rest.pop(0))
-                self.now = system.open_input_stream(path)
-            data = self.now.read(len(buffer))
-            if data:
-                buffer[: len(data)] = data
-                return len(data)
-            self.now.close()
-            self.now = None
+        at, left = self.start + self.at, min(len(buffer), self.size - self.at)
+        if left <= 0:
+            return 0
+        k = bisect.bisect_right(self.first, at) - 1
+        if k not in self.open:
+            system, path = self.files[k]
+            self.open = {k: system.open_input_file(path)}
+        self.open[k].seek(at - self.first[k])
+        data = self.open[k].read(min(left, self.first[k + 1] - at))
+        buffer[: len(data)] = data
+        self.at += len(data)
+        return len(data)
 
 
 def archive_groups(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -51,46 +68,105 @@ def archive_groups(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
     return files.groupBy(F.regexp_replace("path", r"\.part[a-z]{2}$", "").alias("archive")).agg(F.array_sort(F.collect_list("path")).alias("parts"))  # one archive's files
 
 
-def read_members(archives: DataFrame, wanted: DataFrame | None = None, key: str = "path", nested: bool = False) -> DataFrame:
-    """(archive, place, path, content) of the files in archives (archive, parts), streamed; gzip is undone.
-
-    wanted: names of the members to read, as its column ``key``; others are passed over unread where the format allows.
-    Names go to the archives that a semi-join by archive, if ``wanted`` has that column, leaves them in. nested: members
-    that are tar files are opened too, if any wanted name begins with theirs (``inner.tar/…`` or ``inner/…``)."""
-    rows = archives.select("archive", "parts")
-    if wanted is not None:
-        if "archive" in wanted.columns:
-            keys = wanted.groupBy("archive").agg(F.collect_set(key).alias("keys"))  # the names of one archive
-            rows = rows.join(keys, "archive")
-        else:
-            rows = rows.crossJoin(wanted.agg(F.collect_set(key).alias("keys")))  # one row
-    else:
-        rows = rows.withColumn("keys", F.lit(None).cast("array<string>"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def members(stream, head: str, keys: set[str] | None, inner: set[str]) -> Iterator[tuple[str, bytes]]:
-            with tarfile.open(fileobj=stream, mode="r|*") as tar:
-                for m in tar:
-                    if not m.isfile():
-                        continue
-                    name = head + m.name
-                    stem = name.removesuffix(".gz").removesuffix(".tgz").removesuffix(".tar")
-                    if nested and name.endswith((".tar", ".tar.gz", ".tgz")):
-                        if keys is None or name in inner or stem in inner:
-                            yield from members(tar.extractfile(m), f"{name}/", keys, inner)
-                    elif keys is None or name in keys or name.replace(".tar/", "/") in keys:
-                        yield name, tar.extractfile(m).read()
+TARS = (".tar", ".tar.gz", ".tgz")
+_INDEX = "archive string, parts array<string>, window struct<start:long,size:long>, packed boolean, place long, path string, start long, size long"
 
-        for b in batches:
-            for archive, parts, keys in zip(*(b.column(c).to_pylist() for c in ("archive", "parts", "keys")), strict=True):
-                known = None if keys is None else set(keys)
-                heads = {k[:at] for k in known or () for at in range(len(k)) if k[at] == "/"}
-                stream = io.BufferedReader(_Parts(parts), 1 << 20)
-                for place, (name, content) in enumerate(members(stream, "", known, heads)):
-                    yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([place], pa.int64()), pa.array([name]), pa.array([content], pa.binary())], ["archive", "place", "path", "content"])
 
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files that the headers of archives name. Contents are jumped over, but in packed archives, which are read."""
+    window = pa.struct([("start", pa.int64()), ("size", pa.int64())])
+    for b in batches:
+        for archive, parts, own, head in zip(*(b.column(c).to_pylist() for c in ("archive", "parts", "window", "head")), strict=True):
+            raw = _Parts(parts, *(() if own is None else (own["start"], own["size"])))
+            packed = raw.read(2) == b"\x1f\x8b"
+            raw.seek(0)
+            from_ = 0 if own is None else own["start"]
+            rows = []
+            with tarfile.open(fileobj=io.BufferedReader(raw, 1 << 16), mode="r:gz" if packed else "r:") as tar:
+                for m in tar:
+                    if m.isfile():
+                        rows.append((from_ + (min(m.offset, raw.size - 1) if packed else m.offset), head + m.name, m.offset_data + (0 if packed else from_), m.size))
+                    tar.members = []  # it would hold all
+                    if len(rows) == 4096:
+                        yield _index_batch(archive, parts, own, packed, rows, window)
+                        rows = []
+            if rows:
+                yield _index_batch(archive, parts, own, packed, rows, window)
+
+
+def _index_batch(archive: str, parts: list[str], own: dict | None, packed: bool, rows: list[tuple], window: pa.DataType) -> pa.RecordBatch:
+    place, path, start, size = zip(*rows, strict=True)
+    n = len(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([archive] * n), pa.array([parts] * n, pa.list_(pa.string())), pa.array([own] * n, window), pa.array([packed] * n), pa.array(place, pa.int64()), pa.array(path, pa.string()), pa.array(start, pa.int64()), pa.array(size, pa.int64())],
+        ["archive", "parts", "window", "packed", "place", "path", "start", "size"],
+    )
+
+
+def member_index(archives: DataFrame, inner: DataFrame | None = None, depth: int = 1) -> DataFrame:
+    """(archive, parts, window, packed, place, path, start, size): where each file in archives (archive, parts) lies.
+
+    Only headers are read, unless an archive is packed. inner: names of members (its column ``path``, and ``archive``, if
+    it has that) that are tar files and to be opened too, to the depth given; all others stay closed. Their files are
+    named ``inner.tar/name`` and lie in the ``window`` of the archive's bytes that the inner one takes. place: the byte at
+    which a member begins, which grows in the order of members. An inner archive of a packed one cannot be opened."""
+    many = max(1, archives.sparkSession.sparkContext.defaultParallelism)
+    none = F.lit(None).cast("struct<start:long,size:long>")
+    rows = archives.select("archive", "parts", none.alias("window"), F.lit("").alias("head"))
+    out = level = rows.repartition(many, "archive").mapInArrow(_indexed, _INDEX)
+    for _ in range(depth if inner is not None else 0):
+        tars = level.where(~F.col("packed") & F.lower("path").rlike(r"\.(tar|tar\.gz|tgz)$"))
+        tars = tars.join(inner, [c for c in ("archive", "path") if c in inner.columns], "left_semi")
+        rows = tars.select("archive", "parts", F.struct("start", "size").alias("window"), F.concat("path", F.lit("/")).alias("head"))
+        level = rows.repartition(many, "archive", "head").mapInArrow(_indexed, _INDEX)
+        out = out.unionByName(level)
+    return out
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents by place: one open archive at a time; a packed one is unpacked as far as its last wanted file."""
+    now, raw, plain = None, None, None
+    for b in batches:
+        for archive, parts, own, packed, place, path, start, size in zip(*(b.column(c).to_pylist() for c in ("archive", "parts", "window", "packed", "place", "path", "start", "size")), strict=True):
+            key = (archive, packed and own and own["start"], packed)
+            if key != now:
+                now, raw = key, _Parts(parts, *((own["start"], own["size"]) if packed and own else ()))
+                plain = gzip.GzipFile(fileobj=io.BufferedReader(raw, 1 << 20)) if packed else raw
+            plain.seek(start)  # forward: rows come in order
+            content, piece = bytearray(), b"-"
+            while len(content) < size and piece:
+                piece = plain.read(size - len(content))
+                content += piece
+            yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([place], pa.int64()), pa.array([path]), pa.array([bytes(content)], pa.binary())], ["archive", "place", "path", "content"])
+
+
+def read_members(archives: DataFrame, wanted: DataFrame | None = None, key: str = "path", nested: bool = False, depth: int = 1) -> DataFrame:
+    """(archive, place, path, content) of the files in archives (archive, parts); gzip is undone.
+
+    wanted: names of the members to read, as its column ``key`` (and ``archive``, if it has one). Headers make an index,
+    a semi-join of index and names leaves what is wanted, and only that is read, in order of its place: names are never
+    gathered, whatever their number. nested: members that are tar files are opened too, if any wanted name begins with
+    theirs (``inner.tar/…`` or ``inner/…``), all if no names are given."""
+    every = [*(["archive"] if wanted is not None and "archive" in wanted.columns else []), "path"]
+    short = lambda c: F.regexp_replace(c, r"\.(tar\.gz|tar|tgz)/", "/")
+    names = None if wanted is None else wanted.withColumnRenamed(key, "path").select(*every).where("path is not null")
+    inner = None
+    if nested and names is None:
+        inner = member_index(archives).select("archive", "path")
+    elif nested:
+        pieces = F.split("path", "/")
+        heads = names.withColumn("_k", F.explode(F.sequence(F.lit(1), F.size(pieces)))).withColumn("_h", F.array_join(F.slice(pieces, 1, F.col("_k")), "/")).where(F.col("_k") < F.size(pieces))
+        ends = F.explode(F.array(F.lit(""), *map(F.lit, TARS)))
+        inner = heads.withColumn("_e", ends).withColumn("path", F.concat("_h", "_e")).select(*every).distinct()
+    index = member_index(archives, inner, depth)
+    if names is not None:
+        known = names.withColumn("_name", short("path")).select(*every[:-1], "_name", F.col("path").alias("_full")).distinct()
+        # a name may leave out that an archive in it is one, but need not
+        hits = index.withColumn("_name", short("path")).join(known, [*every[:-1], "_name"]).where((F.col("_full") == F.col("path")) | (F.col("_full") == F.col("_name")))
+        index = hits.select(index.columns).dropDuplicates(["archive", "path", "place"])
     many = max(1, archives.sparkSession.sparkContext.defaultParallelism)
-    return rows.repartition(many, "archive").mapInArrow(scan, "archive string, place long, path string, content binary")
+    run = F.when(F.col("packed"), F.coalesce("window.start", F.lit(-1))).otherwise(F.floor(F.col("start") / RUN_BYTES))  # a packed archive is one task's
+    return index.repartition(many, "archive", run).sortWithinPartitions("archive", "packed", F.when(F.col("packed"), F.coalesce("window.start", F.lit(-1))), "start").mapInArrow(_read, "archive string, place long, path string, content binary")
 
 
 def last_by_name(members: DataFrame) -> DataFrame:
@@ -133,43 +209,6 @@ def read_located(locators: DataFrame, folder: str) -> DataFrame:
 # ---- shards ------------------------------------------------------------------------------------------------------
 
 
-def packed_groups(df: DataFrame, group: str, order: str, size: str, most_bytes: int, most_rows: int | None = None, ranges: int = 64) -> DataFrame:
-    """(group, shard, place): which shard each group of rows goes to; a group is never split.
-
-    Groups come in order of the number ``order`` (a group's least) and a shard is closed once it has ``most_bytes`` or
-    ``most_rows``. Such a fold is a chain over all groups, so the order is cut into runs of about equal bytes that are
-    folded by themselves, each beginning a shard: one shard a run may be smaller than the rest. What a task folds is a
-    run's groups, two numbers each."""
-    groups = df.groupBy(group).agg(F.min(order).alias("_o"), F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    total = groups.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
-    runs = int(min(ranges, max(1, total // (most_bytes * 16))))
-    placed = with_index(groups.select(group, "_o", "_bytes", "_rows", F.xxhash64(group).alias("_h")), "_o", "_h", name="_at")
-    n = groups.count()
-    placed = placed.withColumn("_run", F.least(F.floor(F.col("_at") * runs / max(n, 1)), F.lit(runs - 1)).cast("int"))
-    kind = dict(df.dtypes)[group]
-    limit = most_rows or 1 << 62
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, shard, held, rows, place = None, 0, 0, 0, 0
-        for b in batches:
-            shards, places = [], []
-            for r, size_, n_ in zip(*(b.column(c).to_pylist() for c in ("_run", "_bytes", "_rows")), strict=True):
-                if r != run:
-                    run, shard, held, rows, place = r, 0, 0, 0, 0
-                elif held >= most_bytes or rows >= limit:
-                    shard, held, rows, place = shard + 1, 0, 0, 0
-                shards.append(shard)
-                places.append(place)
-                held, rows, place = held + size_, rows + n_, place + 1
-            yield pa.RecordBatch.from_arrays([b.column(group), b.column("_run"), pa.array(shards, pa.int64()), pa.array(places, pa.int64())], [group, "_run", "_shard", "place"])
-
-    dealt = placed.repartition(runs, "_run").sortWithinPartitions("_run", "_at").select(group, "_run", "_bytes", "_rows")
-    folded = dealt.mapInArrow(fold, f"{group} {kind}, _run int, _shard long, place long")
-    per = folded.groupBy("_run").agg((F.max("_shard") + 1).alias("_n"))
-    first = per.select("_run", F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))  # a row a run
-    return folded.join(F.broadcast(first), "_run").select(group, (F.col("_shard") + F.col("_first")).alias("shard"), "place")
-
-
 def write_indexed_shards(samples: DataFrame, folder: str, shard: str = "shard", order: str = "place", key: str = "key", content: str = "content", extension: str = "jpg") -> DataFrame:
     """Writes one member a row to tar files, rows of a shard in order, and returns the locators (key, shard, member,
     header, data, size, sha256, shard_bytes, shard_sha256). Files are renamed when whole; a shard is one task's."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators import audit, matching, ordering, pairing, rules, scoring
+from lakeloom.operators import audit, matching, ordering, packing, pairing, rules, scoring
 from lakeloom.functions import records
 from lakeloom.sources import archives, manifests, tables
 
@@ -50,7 +50,7 @@ def test_nested_archives_open_only_what_is_wanted(spark, tmp_path):
 def test_indexed_shards_and_located_members(spark, tmp_path):
     rows = [(g, k, f"{g}-{k}", bytes([65 + k]) * (700 * (k + 1))) for g in range(6) for k in range(3)]
     df = spark.createDataFrame(rows, "g long, k long, key string, content binary").withColumn("o", F.col("g") * 10 + F.col("k"))
-    packed = archives.packed_groups(df.withColumn("bytes", F.octet_length("content")), "g", "o", "bytes", 8000)
+    packed = packing.packed_groups(df.withColumn("bytes", F.octet_length("content")), "g", "o", "bytes", 8000)
     plan = {r.g: r.shard for r in packed.collect()}
     assert plan == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2}  # 4,200 bytes a group; a shard closes from 8,000 on
     folder = f"file://{tmp_path}/shards"
