@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import stripped
 from lakeloom.operators.matching import base_name
 from lakeloom.operators.ordering import sha_share, with_index
+from lakeloom.sources.scratch import Scratch
 
 
 def by_base_name(rows: DataFrame, path: str, media: DataFrame, file: str) -> DataFrame:
@@ -52,21 +55,51 @@ def calibrated(cells: DataFrame, calibration: DataFrame, keys: list[str], expect
     return got.withColumn("status", F.when(F.col(measured).isNull(), "missing").when(off, "mismatch").otherwise("matched"))
 
 
-def near_images(df: DataFrame, key: str, group: str, bits: str, means: str, distance: int = 4, color: float = 12.0) -> DataFrame:
-    """(a, b, distance): pairs of rows of different groups whose 64-bit hashes differ in at most ``distance`` bits and
-    whose mean colours differ by less than ``color`` in every channel.
-
-    Hashes that near agree in one of distance + 1 bands of bits, so equal bands find every pair. Rows with the same
-    group, hash and colours meet others as one: such rows are one class, and classes are joined, not rows."""
-    width = -(-64 // (distance + 1))
-    classes = df.groupBy(group, bits, means).agg(F.min(key).alias("_key"), F.count(F.lit(1)).alias("_n"))
-    bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(bits), k * width).bitwiseAND(F.lit((1 << min(width, 64 - k * width)) - 1)).alias("v")) for k in range(distance + 1)))
-    banded = classes.select("*", F.explode(bands).alias("_band"))
-    side = lambda s: banded.select(F.col("_band.k").alias("k"), F.col("_band.v").alias("v"), *(F.col(c).alias(f"{s}_{n}") for c, n in ((group, "group"), (bits, "bits"), (means, "means"), ("_key", "key"))))
-    far = F.bit_count(F.col("x_bits").bitwiseXOR(F.col("y_bits")))
+#: Rows that a bucket of near hashes is to have at most, on average, and from where it is divided by further bits.
+BUCKET, HOT = 64, 4096
+
+
+def _masks(within: list[int], parts: int, chosen: int) -> list[int]:
+    """Sets of bits: the bit numbers ``within`` in ``parts`` runs, each combination of ``chosen`` runs as a signed 64-bit mask."""
+    runs = [within[len(within) * k // parts : len(within) * (k + 1) // parts] for k in range(parts)]
+    masks = [sum(1 << bit for run in own for bit in run) for own in combinations(runs, chosen)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def near_images(df: DataFrame, key: str, group: str | None, bits: str, means: str, distance: int = 4, color: float = 12.0) -> DataFrame:
+    """(a, b, distance): pairs of rows of different groups (of all rows, if group is None) whose 64-bit hashes differ in at
+    most ``distance`` bits and whose mean colours differ by less than ``color`` in every channel.
+
+    Rows with the same group, hash and colours meet others as one, that with the least key. Hashes cut into distance + j
+    runs of bits that near agree in j of them, and j grows with the number of classes, so that a bucket of equal runs
+    stays small on average. Where hashes crowd all the same, a bucket's rows are divided again: by runs of their remaining
+    bits, which near hashes share one of too, and by cells of their first colour, of which neighbours meet. A pair is put
+    out where it first meets. Null hashes and colours have no partners."""
+    own = [c for c in (group,) if c]
+    classes = df.groupBy(*own, bits, means).agg(F.min(key).alias("_key")).where(F.col(bits).isNotNull() & F.col(means).isNotNull())
+    classes = Scratch(df.sparkSession).saved(classes)
+    n, j = classes.count(), 1
+    while j < 4 and n > BUCKET * 2 ** (64 * j / (distance + j)):
+        j += 1
+    masks = _masks(list(range(64)), distance + j, j)
+    rest = [_masks([b for b in range(64) if not (m >> b) & 1], distance + 1, 1) for m in masks]
+    array = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    banded = classes.select("*", F.explode(F.transform(array(masks), lambda m, k: F.struct(k.alias("k"), F.col(bits).bitwiseAND(m).alias("v")))).alias("_b")).select("*", "_b.k", "_b.v").drop("_b")
+    crowded = banded.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("k", "v", F.lit(True).alias("_hot"))
+    marked = banded.join(crowded, ["k", "v"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    side = lambda rows, s, *more: rows.select("k", "v", *more, *(F.col(c).alias(f"{s}_{n}") for c, n in ((bits, "bits"), (means, "means"), ("_key", "key"), *((c, "group") for c in own))))
+    calm = marked.where("not _hot")
+    met = side(calm, "x").join(side(calm, "y"), ["k", "v"]).withColumn("_s", F.lit(None).cast("int"))
+    inner = F.transform(F.array(*map(array, rest))[F.col("k")], lambda m, s: F.struct(s.alias("s"), F.col(bits).bitwiseAND(m).alias("u")))
+    hot = marked.where("_hot").select("*", F.explode(inner).alias("_i")).select("*", "_i.s", "_i.u", F.floor(F.coalesce(F.get(means, F.lit(0)), F.lit(0.0)) / color).cast("long").alias("c"))
+    around = hot.withColumn("c", F.explode(F.array(*(F.col("c") + d for d in (-1, 0, 1)))))
+    met = met.unionByName(side(hot, "x", "s", "u", "c").join(side(around, "y", "s", "u", "c"), ["k", "v", "s", "u", "c"]).withColumnRenamed("s", "_s").drop("u", "c"))
+    apart = F.col("x_bits").bitwiseXOR(F.col("y_bits"))
+    agree = lambda xs: F.array_min(F.filter(F.transform(xs, lambda m, k: F.when(apart.bitwiseAND(m) == 0, k)), lambda k: k.isNotNull()))
     near = F.forall(F.zip_with("x_means", "y_means", lambda a, b: F.abs(a - b) < color), lambda x: x)
-    met = side("x").join(side("y"), ["k", "v"]).where((F.col("x_key") < F.col("y_key")) & (F.col("x_group") != F.col("y_group"))).withColumn("distance", far)
-    return met.where((F.col("distance") <= distance) & near).select(F.col("x_key").alias("a"), F.col("y_key").alias("b"), "distance").distinct()
+    met = met.where((F.col("x_key") < F.col("y_key")) & (F.col("x_group") != F.col("y_group") if own else F.lit(True))).withColumn("distance", F.bit_count(apart)).where((F.col("distance") <= distance) & F.coalesce(near, F.lit(False)))
+    first = (F.col("k") == agree(array(masks))) & (F.col("_s").isNull() | (F.col("_s") == agree(F.array(*map(array, rest))[F.col("k")])))
+    return met.where(first).select(F.col("x_key").alias("a"), F.col("y_key").alias("b"), "distance").distinct()
 
 
 def first_plans(*plans: DataFrame, key: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.operators import ordering, packing
+from lakeloom.operators import ordering, packing, pairing, selection
 from lakeloom.plans.queries import query, t
+from lakeloom.sources.scratch import Scratch
 
 
 def _one_pass(units: str, most_bytes: int, most_rows: int, out: str) -> str:
@@ -50,3 +51,70 @@ def packed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by their first shipping, whole, packed into shards by quantity and lines."""
     d = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", F.col("l_quantity").cast("long").alias("q"))
     return packing.packed_groups(d, "l_orderkey", "l_shipdate", "q", 5_000, 150)
+
+
+# ---- near hashes and what they leave -----------------------------------------------------------------------------
+
+#: A text as a row of 65 pixels, each the number of times it has a character, and their differences as a hash of 64 bits.
+_PIXELS = "etaoinshrdlcumwfgypbvkjxqzETAOINSHRDLCUMWFGYPBVKJXQZ0123456789.,-"
+_COUNT = "(length(text) - length(replace(text, '{0}', '')))"
+_TEXT_HASHES = f"""h AS MATERIALIZED (
+  SELECT doc_id, source, text, CAST(b - CASE WHEN b >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END AS BIGINT) AS bits, [length(text) / 10.0::DOUBLE, p[1]::DOUBLE, p[2]::DOUBLE] AS means FROM (
+    SELECT *, list_sum(list_transform(generate_series(1, 64), lambda k: CASE WHEN p[k] > p[k + 1] THEN (1::HUGEINT << (k - 1)::INT) ELSE 0::HUGEINT END)) AS b FROM (
+      SELECT doc_id, source, text, [{", ".join(_COUNT.format(c) for c in _PIXELS)}] AS p FROM documents WHERE text IS NOT NULL)))"""
+_NEAR = "bit_count(xor(x.bits, y.bits)) <= 4 AND len(list_filter(list_zip(x.means, y.means), lambda m: abs(m[1] - m[2]) >= 12)) = 0"
+
+
+def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, text, bits, means): hashes of texts as of rows of pixels."""
+    d = t(spark, sf_dir, "documents").where("text is not null")
+    counts = F.array(*(F.length("text") - F.length(F.replace("text", F.lit(c))) for c in _PIXELS))
+    d = d.select("doc_id", "source", "text", counts.alias("p"))
+    one = F.array(*(F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long") for x in (1 << k for k in range(64))))
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.when(F.get("p", k) > F.get("p", k + 1), F.get(one, k)).otherwise(F.lit(0).cast("long"))))
+    means = F.array(F.length("text") / F.lit(10.0), F.get("p", F.lit(0)).cast("double"), F.get("p", F.lit(1)).cast("double"))
+    # saved, as counting is dear and what follows asks for the hashes again and again
+    return Scratch(spark).saved(d.select("doc_id", "source", "text", bits.alias("bits"), means.alias("means")))
+
+
+@query(
+    f"""
+WITH {_TEXT_HASHES}, c AS (SELECT source, bits, means, min(doc_id) AS k FROM h GROUP BY ALL)
+SELECT x.k AS a, y.k AS b, CAST(bit_count(xor(x.bits, y.bits)) AS INT) AS distance FROM c x JOIN c y ON x.k < y.k AND x.source <> y.source AND {_NEAR}
+"""
+)
+def near_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of near hashes of different sources."""
+    return pairing.near_images(text_hashes(spark, sf_dir), "doc_id", "source", "bits", "means")
+
+
+@query(
+    f"""
+WITH RECURSIVE {_TEXT_HASHES}, d AS MATERIALIZED (
+  SELECT doc_id, md5(text) AS pixels, substr(text, 1, 24) AS head, source, CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) NOT BETWEEN 5 AND 3000 THEN 'word_budget' END AS why, bits, means, row_number() OVER (ORDER BY doc_id) AS r
+  FROM h
+), e AS MATERIALIZED (
+  SELECT y.r, y.doc_id, y.why, coalesce(list(x.r) FILTER (x.head = y.head), []) AS g, coalesce(list(x.r) FILTER (x.pixels = y.pixels), []) AS p, coalesce(list(x.r) FILTER ({_NEAR}), []) AS n
+  FROM d y LEFT JOIN d x ON x.r < y.r AND x.why IS NULL AND y.why IS NULL AND (x.head = y.head OR x.pixels = y.pixels OR {_NEAR}) GROUP BY ALL
+), w AS (
+  SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS got, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS reason
+  UNION ALL
+  SELECT e.r, CASE WHEN v.reason IS NULL THEN list_append(w.got, e.r) ELSE w.got END, e.doc_id, v.reason
+  FROM w JOIN e ON e.r = w.r + 1, LATERAL (SELECT CASE WHEN e.why IS NOT NULL THEN e.why WHEN list_has_any(w.got, e.g) THEN 'same_head' WHEN list_has_any(w.got, e.p) THEN 'same_pixels' WHEN list_has_any(w.got, e.n) THEN 'near' END AS reason) v
+)
+SELECT doc_id, reason IS NULL AS taken, reason FROM w WHERE r > 0
+"""
+)
+def selected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in order, each taken unless an earlier taken one shares its beginning or text, or is near it."""
+    d = text_hashes(spark, sf_dir)
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    why = F.when(~words.between(5, 3000), "word_budget")
+    same = d.select("doc_id", F.md5(F.to_json(F.struct("bits", "means")).cast("binary")).alias("same"))
+    of = same.join(same.groupBy("same").agg(F.min("doc_id").alias("a")), "same").select("doc_id", "a")
+    # rows of one hash are a class; all of two near classes conflict, and share a text for that
+    pairs = pairing.near_images(d, "doc_id", None, "bits", "means").select(F.explode(F.array("a", "b")).alias("a"), F.concat_ws("|", "a", "b").alias("v"))
+    shared = of.select("doc_id", F.col("a").cast("string").alias("v")).union(of.join(pairs, "a").select("doc_id", "v"))
+    keys = {"same_head": F.substring("text", 1, 24), "same_pixels": F.md5(F.col("text").cast("binary"))}
+    out = selection.select_first(d, ["doc_id"], why, keys, {"near": shared}, key="doc_id")
+    return out.select("doc_id", "taken", "reason")

@@ -254,24 +254,6 @@ def calibrated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.calibrated(cells, got, ["p_brand", "p_type"], "expected", "measured", 0.1).select("p_brand", "p_type", "status")
 
 
-_HASHES = "(SELECT vec_id, label, list_sum(list_transform(embedding, lambda x, i: CASE WHEN i <= 60 AND x > 0 THEN (1::BIGINT << (i - 1)::INT) ELSE 0::BIGINT END))::BIGINT & 18014398509481983 AS bits, list_transform(embedding[1:3], lambda x: x::DOUBLE * 100) AS means FROM embeddings)"
-
-
-@query(
-    f"""
-WITH h AS (SELECT vec_id, label, bits & 1023 | ((bits & 7) << 40) AS bits, means FROM {_HASHES}), c AS (SELECT label, bits, means, min(vec_id) AS k FROM h GROUP BY ALL)
-SELECT a.k AS a, b.k AS b, CAST(bit_count(xor(a.bits, b.bits)) AS INT) AS distance FROM c a JOIN c b ON a.k < b.k AND a.label <> b.label WHERE bit_count(xor(a.bits, b.bits)) <= 4 AND abs(a.means[1] - b.means[1]) < 12 AND abs(a.means[2] - b.means[2]) < 12 AND abs(a.means[3] - b.means[3]) < 12
-"""
-)
-def near_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as hashes of the signs of their first components."""
-    sign = F.transform(F.slice("embedding", 1, 54), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    bits = sum((F.shiftleft(F.coalesce(F.get(sign, F.lit(k)), F.lit(0).cast("long")), k) for k in range(10)), F.lit(0).cast("long"))
-    bits = bits.bitwiseOR(F.shiftleft(bits.bitwiseAND(F.lit(7)), 40))
-    d = t(spark, sf_dir, "embeddings").select("vec_id", "label", bits.alias("bits"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 100).alias("means"))
-    return pairing.near_images(d, "vec_id", "label", "bits", "means")
-
-
 @query("SELECT o_custkey AS run_id, 'a' AS plan FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT c_custkey, 'b' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def first_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("run_id")).distinct().withColumn("plan", F.lit("a"))
