@@ -9,8 +9,10 @@ import numpy as np
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript noembed noframes iframe svg canvas audio video title head select textarea datalist".split())
-RAW = frozenset("script style noembed noframes iframe title textarea xmp".split())
+SILENT = frozenset("script style template noscript noembed noframes iframe title head select textarea datalist".split())
+RAW = frozenset("script style noembed noframes iframe title textarea".split())
+#: Elements whose content is text as it stands.
+PLAIN = frozenset(("xmp",))
 #: Elements that make no nodes and no block bounds, nor does what they hold.
 HIDDEN = frozenset("noscript template svg math select".split())
 FOREIGN = frozenset(("svg", "math"))
@@ -42,7 +44,7 @@ TOKENS = {
 _GROUP = {w: k for k, (_, words) in enumerate(TOKENS.items()) for w in words}
 _TAG = {t: k for k, t in enumerate(TAGS)}
 FEATURES = [*(f"tag {t}" for t in TAGS), *(f"own {g}" for g in TOKENS), *(f"above {g}" for g in TOKENS), *(f"above {t}" for t in ("article", "main", "nav", "header", "footer", "aside", "form"))]
-FEATURES += ["log chars", "log own chars", "link share", "log nodes", "chars a node", "stops", "paragraphs", "depth", "place", "siblings", "siblings of its tag", "share of parent's chars", "link share before", "link share after", "log chars before", "log chars after"]
+FEATURES += ["log chars", "log own chars", "link share", "log nodes", "chars a node", "stops", "paragraphs", "depth", "place", "siblings", "siblings of its tag", "share of parent's chars", "link share before", "link share after", "log chars before", "log chars after", "share of page's chars", "headings below", "share of parent's headings", "log longest own chars"]
 _ABOVE = ("article", "main", "nav", "header", "footer", "aside", "form")
 
 _MARKUP = re.compile(r"<(?=[a-zA-Z!?/])")
@@ -184,7 +186,12 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
-            if name in CLOSES_P and where.get("p"):
+            plain = None
+            if name in PLAIN and not foreign[-1]:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(source, at)
+                plain = source[at : end.start() if end else len(source)].replace("&", "&amp;")
+                at = end.start() if end else len(source)
+            if (name in CLOSES_P or name in PLAIN) and where.get("p"):
                 k = where["p"][-1]
                 if max(blocks[-1], last(FOREIGN)) <= k:
                     close(k)
@@ -230,6 +237,8 @@ class Page:
             nodes.append(node)
             if block and not hidden:
                 self.parts.append((node, None))
+            if plain:
+                text(plain)
         close(1)
 
     def text(self, keep: np.ndarray | list[bool]) -> str:
@@ -280,6 +289,11 @@ class Page:
             for i, k in enumerate(own_children):
                 place[k], siblings[k], same[k] = i / len(own_children), len(own_children), count[tag[k]]
                 before[k], after[k] = own_children[i - 1] if i else -1, own_children[i + 1] if i + 1 < len(own_children) else -1
+        headings, longest = np.isin(self.tag, [_TAG[t] for t in ("h1", "h2", "h3")]).astype(np.float64), own.copy()
+        for k in range(n - 1, 0, -1):
+            p = self.parent[k]
+            headings[p] += headings[k]
+            longest[p] = max(longest[p], longest[k])
         link = linked_all / np.maximum(total, 1)
         link_at = lambda at: np.where(at < 0, -1, link[at])
         chars_at = lambda at: np.where(at < 0, -1, np.log1p(total[at]))
@@ -289,6 +303,7 @@ class Page:
                 one[k, t] = 1
         rest = [np.log1p(total), np.log1p(own), link, np.log1p(nodes), total / nodes, stops_all / np.maximum(total, 1), paragraphs, depth, place, siblings, same]
         rest += [total / np.maximum(total[np.maximum(parent, 0)], 1), link_at(before), link_at(after), chars_at(before), chars_at(after)]
+        rest += [total / max(total[0], 1), headings, headings / np.maximum(headings[np.maximum(parent, 0)], 1), np.log1p(longest)]
         return np.column_stack([one, bits, above_group, above_tag, *rest])
 
 

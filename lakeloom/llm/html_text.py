@@ -19,7 +19,7 @@ from lakeloom.llm.common import slices
 from lakeloom.llm.dom import FEATURES, Page, consistent
 
 #: Made-up pages to fit on, trees, depth, bins a feature, and step.
-PAGES, TREES, DEPTH, BINS, STEP = 900, 60, 4, 24, 0.25
+PAGES, TREES, DEPTH, BINS, STEP = 1600, 70, 5, 24, 0.25
 MARK = ""  # stands in front of article text in made-up pages
 
 
@@ -28,6 +28,7 @@ MARK = ""  # stands in front of article text in made-up pages
 
 def example_page(rng: random.Random) -> str:
     """A page with an article, whose text pieces begin with MARK, among parts that are not the article."""
+    sides = ("ad", "share", "related", "sidebar", "cookie", "comments", "comment", "nav", "header", "footer", "newsletter")
     syllables = "an the er on ti re is or en at es in st nd th ar la de que os ung ein ver ment eau".split()
 
     def words(n: int, stop: str = ".") -> str:
@@ -42,9 +43,22 @@ def example_page(rng: random.Random) -> str:
         if rng.random() > often:
             return ""
         name = rng.choice(names) + rng.choice(["", "", "-wrap", "-1", "-box", " clearfix", "_inner", "-area"])
+        if names[0] in sides and rng.random() < 0.2:
+            name += " " + rng.choice(homely)
         more = rng.choice(["", "", "", ' data-k="1"', ' style="margin:0"', ' role="presentation"'])
         return f' {rng.choice(["class", "class", "id"])}="{name}"{more}'
 
+    def distracted(names: list[str], often: float, misleading: list[str]) -> str:
+        """An attribute whose words may also point the other way, as theme and state classes do."""
+        if rng.random() < 0.45:
+            own = " ".join([rng.choice(names)] * (rng.random() < 0.4) + rng.sample(misleading, rng.choice([1, 1, 2])))
+            return f' {rng.choice(["class", "class", "class", "id"])}="{own}"'
+        return attribute(names, often)
+
+    # words of side parts on articles, and words of articles on side parts
+    astray = "has-sidebar with-sidebar no-sidebar comments-open comment-enabled single-comment entry-related article-more read-more legal-text legal-notice feedback-page feedback discussion discussion-post thread thread-starter privacy privacy-policy share-page social-post sticky-header has-header no-footer with-nav nav-open menu-closed search-result review review-text response form-page sponsored-free ad-free has-ads related-work topbar-fixed notice-page message warning-text alert-story tag-news tags-on popular top-story bottom-line button-free input-guide register-info subscribe-ok follow-up widget-ready modal-closed dialog-text site-main logo-story link-list banner-on cookie-recipe login-free promo-story".split()
+    homely = "content inner-content text body page-text article-link post-list entry-meta story-list main-nav title headline copy text-box lead page-body prose".split()
+
     def links(n: int) -> str:
         return "".join(f'<li><a href="/{k}">{words(rng.randint(1, 3), "")}</a></li>' for k in range(n))
 
@@ -70,6 +84,8 @@ def example_page(rng: random.Random) -> str:
             out = []
         elif rng.random() < 0.1:
             out = [f"<header>{out[0]}</header>"]
+        if rng.random() < 0.1:  # a list of links is what some articles are
+            return "".join(out) + (paragraph(m) if rng.random() < 0.3 else "") + "<ul>" + "".join(f'<li><a href="/{k}">{m}{words(rng.randint(1, 6), "")}</a></li>' for k in range(rng.randint(3, 12))) + "</ul>"
         for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 8, 14])):
             kind = rng.random()
             if kind < 0.75:
@@ -89,6 +105,15 @@ def example_page(rng: random.Random) -> str:
                 out.append(f"<figure><img src=x><figcaption>{m}{words(8)}</figcaption></figure>")
             else:
                 out.append(f"<div>{m}{words(25)}</div>" if rng.random() < 0.5 else f"<pre>{m}{words(12)}</pre>")
+            if rng.random() < 0.07:
+                inside = "".join(paragraph(m) for _ in range(rng.randint(1, 3)))
+                head = f"<{(h := rng.choice(['h2', 'h3']))}>{m}{words(3, '')}</{h}>" if rng.random() < 0.6 else ""
+                out.append(f"<{(tag := rng.choice(['div', 'div', 'section']))}{distracted(['section', 'part', 'note', 'box'], 0.6, astray)}>{head}{inside}</{tag}>")
+            if rng.random() < 0.03:
+                out.append("<ul>" + "".join(f'<li><a href="/{k}">{m}{words(rng.randint(1, 6), "")}</a></li>' for k in range(rng.randint(3, 9))) + "</ul>")
+            if rng.random() < 0.03:
+                inner = f"{m}{words(rng.randint(1, 6), '')}"
+                out.append(rng.choice([f"<xmp>{inner}</xmp>", f"<svg width=9><text>{inner}</text></svg>", f"<canvas>{inner}</canvas>", f"<video src=v>{inner}</video>", f"<audio src=a><p>{inner}</p></audio>"]))
             if rng.random() < 0.07:
                 out.append(rng.choice([advert, share, related, newsletter])())
         if not out:
@@ -136,6 +161,8 @@ def example_page(rng: random.Random) -> str:
 
     def top() -> str:
         inner = f"{words(3, '')}" if rng.random() < 0.4 else f"<div{attribute(['logo', 'branding', 'site-title'])}>{words(2, '')}</div>"
+        if rng.random() < 0.25:
+            inner = f"<h1>{words(rng.randint(1, 3), '')}</h1>"
         if rng.random() < 0.4:
             inner += navigation()
         if rng.random() < 0.2:
@@ -172,7 +199,7 @@ def example_page(rng: random.Random) -> str:
         core = inner
     else:
         often = 1.0 if tag in ("div", "section") and rng.random() < 0.8 else 0.4
-        core = f"<{tag}{attribute(['content', 'article', 'post', 'entry', 'main', 'story', 'article-body', 'post-content', 'entry-content', 'main-content'], often)}>{inner}</{tag}>"
+        core = f"<{tag}{distracted(['content', 'article', 'post', 'entry', 'main', 'story', 'article-body', 'post-content', 'entry-content', 'main-content'], often, astray)}>{inner}</{tag}>"
     if rng.random() < 0.25:
         core = core.replace(f"</{tag}>", "") + comments() + f"</{tag}>" if tag in ("main", "div") and rng.random() < 0.4 else core + comments()
     if rng.random() < 0.3 and tag != "main":
@@ -183,7 +210,7 @@ def example_page(rng: random.Random) -> str:
         rng.shuffle(around_before)
     body = "".join(around_before) + core + "".join(around_after)
     for _ in range(rng.choice([0, 0, 0, 1, 2])):
-        body = f"<div{attribute(['wrapper', 'container', 'page', 'layout', 'row', 'site', 'outer'], 0.7)}>{body}</div>"
+        body = f"<div{distracted(['wrapper', 'container', 'page', 'layout', 'row', 'site', 'outer'], 0.7, astray)}>{body}</div>"
     return f"<!DOCTYPE html><html><head><title>{words(3)}</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 

@@ -51,7 +51,29 @@ def test_long_texts_are_scored_in_pieces(monkeypatch):
     for a, b in zip(whole, pieces, strict=True):
         np.testing.assert_allclose(a, b, atol=1e-9)
     np.testing.assert_allclose(score, crf.QualityModel(weights, np.array([[1.0, 0], [0, 0.5]])).scores(*pieces))
-    assert crf._middle(b"\n" * 5000).count(b"\n") == crf.SAMPLE_LINES - 1
+
+
+def test_scores_do_not_depend_on_the_texts_beside_them():
+    rng = np.random.default_rng(2)
+    words = ["a line of some words.", "MORE $$$ | ||", "", "once again, words", "x" * 90, "ünï 12 34", "so it goes, and goes."]
+    texts = ["\n".join(rng.choice(words, rng.integers(1, 60))).encode() for _ in range(300)]
+    model, hasher = crf.QualityModel(rng.normal(size=crf.WIDTH), np.array([[1.0, 0], [0, 0.5]]), 1.3, 0.2), _Words()
+    score = lambda own: model.scores(*crf.line_odds(own, hasher, model.weights)).tolist()
+    alone = [score([t])[0] for t in texts]
+    assert score(texts) == alone
+    for size in (2, 7, 64):
+        assert [s for k in range(0, 300, size) for s in score(texts[k : k + size])] == alone
+
+
+def test_the_fit_is_bounded_by_lines_of_whole_texts(spark):
+    """A text that has more lines than are left is passed over, whole; the others are read whole."""
+    docs = spark.createDataFrame([(k, f"line {k}\n" * (5 if k else 5000)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    rest = docs.where("doc_id > 0")
+    a, b = crf.train_quality(docs, labels, sample_lines=1000), crf.train_quality(rest, labels, sample_lines=1000)
+    assert (a.weights == b.weights).all() and a.slope == b.slope
+    assert not (crf.train_quality(docs, labels).weights == a.weights).all()
+    assert crf.train_quality(docs, labels, sample_lines=3).shift == 0.0
 
 
 @given(st.lists(st.integers(0, 5), max_size=7), st.lists(st.floats(-5, 5), min_size=8, max_size=8))
@@ -104,10 +126,42 @@ PAGES = [
 ]
 
 
+def _framed(core: str) -> str:
+    return f"<html><body><nav><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></nav>{core}<footer><p>Copyright 2021 The Paper, all rights reserved.</p></footer></body></html>"
+
+
+STORY = ["The old mill", "For a hundred years the mill by the river ground the corn of four villages, and then it stopped.", "Nobody remembers why, but the wheel still turns when the snow melts."]
+_STORY = f"<h1>{STORY[0]}</h1><p>{STORY[1]}</p><p>{STORY[2]}</p>"
+_SIDE = "<ul><li><a href=/1>One thing</a></li><li><a href=/2>Another thing</a></li><li><a href=/3>A third</a></li></ul>"
+#: Shapes kept apart from the made-up pages that the trees learn from: state and theme words on articles, among others.
+SHAPES = [
+    *((_framed(f"<{t} class='{c}'>{_STORY}</{t}>"), STORY) for t in ("div", "article") for c in ("post comment-enabled", "feedback-article", "discussion-paper", "thread", "legal-notice", "article-more", "post has-sidebar", "privacy")),
+    *((_framed(f"<{t} class='{c}'>{_STORY}</{t}>"), STORY) for t, c in (("section", "single single-post comments-open"), ("main", "page sidebar-right"), ("div", "hentry tag-news"), ("div", "entry related-posts-on"), ("div", "layout nav-collapsed"), ("section", "top-stories"), ("div", "reply-letter"), ("article", "ad-free popular"))),
+    (_framed("<article><h1>Reading list</h1><ul>" + "".join(f"<li><a href=/b{k}>Book number {k}</a></li>" for k in range(8)) + "</ul></article>"), ["Reading list", *(f"Book number {k}" for k in range(8))]),
+    (_framed(f"<main>{_STORY}<div class='related-work'><h2>Earlier work</h2><p>Two studies had looked at the mill before, but neither had asked the miller's family about it.</p></div></main>"), [*STORY, "Earlier work", "Two studies had looked at the mill before, but neither had asked the miller's family about it."]),
+    (_framed(f"<article>{_STORY}<xmp>code <b>sample</b> here</xmp></article>"), [*STORY, "code <b>sample</b> here"]),
+    (_framed(f"<article>{_STORY}<svg><text>label</text></svg></article>"), [*STORY, "label"]),
+    (_framed(f"<article>{_STORY}<video src=v>No film here</video></article>"), [*STORY, "No film here"]),
+    (_framed(f"<div id=main>{_STORY}</div><div class='comments content'><div class=comment><p>I worked there as a boy, and it was cold.</p></div><div class=comment><p>Lovely story!</p></div></div>"), STORY),
+    (_framed(f"<div class=post>{_STORY}</div><div class='sidebar text'><h3>More</h3>{_SIDE}</div>"), STORY),
+    (_framed(f"<div class=story>{_STORY}</div><div class='related article-list'><h3>Related</h3>{_SIDE}</div>"), STORY),
+    (_framed(f"<div class='cookie-notice content'><p>We use cookies to make this site work.</p></div><article>{_STORY}</article>"), STORY),
+    (_framed(f"<article>{_STORY}<div class='ad-box body'>Buy our flour now</div></article>"), STORY),
+    (_framed(f"<div><div><div class='col main-col'>{_STORY}</div><div class='col side'>{_SIDE}</div></div></div>"), STORY),
+    (_framed(f"<article>{_STORY}</article><form class=subscribe><label>Your address</label><input><button>Send</button></form>"), STORY),
+    (_framed(f"<article>{_STORY}<div class='share copy'><a href=/f>Facebook</a> <a href=/t>Twitter</a></div></article>"), STORY),
+    (_framed(f"<div class='page text'><blockquote><p>{STORY[1]}</p></blockquote><p>{STORY[2]}</p></div>"), STORY[1:]),
+    (_framed(f"<table class=layout><tr><td class=left>{_SIDE}</td><td>{_STORY}</td></tr></table>"), STORY),
+    (_framed(f"<article><header><h1>{STORY[0]}</h1></header><p>{STORY[1]}</p><aside class=related>{_SIDE}</aside><p>{STORY[2]}</p></article>"), STORY),
+]
+
+
 def test_main_text_of_pages_of_other_shapes():
-    said = [set(t.split("\n")) - {""} for t in main_texts([p for p, _ in PAGES], fitted())]
-    hits = sum(len(a & set(b)) for a, (_, b) in zip(said, PAGES, strict=True))
-    assert hits / sum(len(a) for a in said) >= 0.9 and hits / sum(len(b) for _, b in PAGES) >= 0.9
+    for pages, least in ((PAGES, 0.9), (SHAPES, 0.93)):
+        said = [set(t.split("\n")) - {""} for t in main_texts([p for p, _ in pages], fitted())]
+        hits = sum(len(a & set(b)) for a, (_, b) in zip(said, pages, strict=True))
+        assert hits / sum(len(a) for a in said) >= least and hits / sum(len(b) for _, b in pages) >= least
+    assert len(SHAPES) >= 40 and all(said)  # of these one loses its list of links, which looks like a menu
 
 
 NOTICES = {
