@@ -21,8 +21,8 @@ from lakeloom.llm.near_dedup import _mixed, _Words
 
 #: At most so many labelled documents are fitted on, those with the smallest hashes of their id.
 SAMPLE = 3000
-#: Of a document with more lines, so many from its middle are fitted on.
-SAMPLE_LINES = 400
+#: Lines that these have together at most: rows whose text would exceed them are passed over.
+SAMPLE_LINES = 500_000
 #: A text of more bytes is worked on in pieces of whole lines of about so many, and lines in runs of LINES.
 PIECE, LINES = 1 << 22, 1 << 16
 #: Ridge penalty on the weights, and steps of the fit.
@@ -58,13 +58,21 @@ def line_features(raw: list[bytes], hasher: _Words) -> tuple[np.ndarray, np.ndar
     return np.column_stack([own, before, after, lead, trail, np.ones(len(own))]), size, first
 
 
+def _times(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each row times the weights, added up column by column: a row's sum does not depend on the rows beside it."""
+    out = np.zeros(len(x))
+    for column, w in zip(x.T, weights.tolist(), strict=True):
+        out += column * w
+    return out
+
+
 def line_odds(raw: list[bytes], hasher: _Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log odds by line, bytes by line, first line of each text and the end), as the features of whole texts give them.
 
     What is held is some 40 bytes for each byte of a piece, and 40 for each line of a text."""
     if len(raw) > 1 or not raw or len(raw[0]) <= PIECE:
         x, size, first = line_features(raw, hasher)
-        return x @ weights, size, first
+        return _times(x, weights), size, first
     text, at, own_w = raw[0], 0, weights[: 3 * _OWN].reshape(3, _OWN)
     parts, sizes, seen = [], [], np.zeros(0, dtype=np.uint64)
     while at <= len(text):
@@ -73,7 +81,7 @@ def line_odds(raw: list[bytes], hasher: _Words, weights: np.ndarray) -> tuple[np
         own, size, _, key = _own_features([text[at:end]], hasher)
         own[:, _REPEATED] = np.maximum(own[:, _REPEATED], np.isin(key, seen))
         seen = np.union1d(seen, key)
-        parts.append(own @ own_w.T)
+        parts.append(np.column_stack([_times(own, w) for w in own_w]))
         sizes.append(size)
         at = end + 1
     own, before, after = np.concatenate(parts).T
@@ -244,39 +252,40 @@ def _weighted(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
     return w
 
 
-def _middle(text: bytes) -> bytes:
-    """The middle SAMPLE_LINES lines of a text that has more."""
-    if text.count(b"\n") < SAMPLE_LINES:
-        return text
-    lines = text.split(b"\n")
-    at = (len(lines) - SAMPLE_LINES) // 2
-    return b"\n".join(lines[at : at + SAMPLE_LINES])
-
-
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = _Words()
     for b in slices(batches, "text"):
-        x, size, first = line_features([_middle(_utf8(t)) for t in b.column("text").to_pylist()], hasher)
+        x, size, first = line_features([_utf8(t) for t in b.column("text").to_pylist()], hasher)
         parts = [x[lo:hi].astype("<f4").tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
         sizes = [size[lo:hi].astype("<f8").tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(parts, pa.binary()), pa.array(sizes, pa.binary())], ["id", "label", "x", "size"])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    """A model fitted on at most ``sample`` rows of ``labels`` (id_col, label_col 0 or 1) and their texts in ``docs``, of
-    a text with more than SAMPLE_LINES lines on those in its middle.
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> QualityModel:
+    """A model fitted on at most ``sample`` rows of ``labels`` (id_col, label_col 0 or 1) and their whole texts in
+    ``docs``, which have at most ``sample_lines`` lines together.
 
-    The rows are those with the smallest hashes of their id, so the choice depends on ids alone. Rows with a null id
-    or label are left out. With no labelled text every score is 0.5; with one label only, all scores lean to it."""
+    Rows come in the order of hashes of their id, and one whose text would exceed the lines left is passed over, so the
+    choice depends on ids and texts alone. Rows with a null id or label are left out. With no labelled text every score is
+    0.5; with one label only, all scores lean to it."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     # the broadcast side has at most ``sample`` rows of two numbers
-    rows = texts.join(F.broadcast(chosen), "id").mapInArrow(_featured, f"id {kind}, label int, x binary, size binary")
-    got = rows.orderBy(F.xxhash64("id"), "id", "label").limit(sample).collect()
-    if not got:
+    rows = texts.join(F.broadcast(chosen), "id").withColumn("lines", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\n]+", "")) + 1).withColumn("key", F.xxhash64("text"))
+    order = [F.xxhash64("id"), "id", "label", "lines", "key"]
+    left, wanted = sample_lines, []
+    for r in rows.select("id", "label", "lines", "key").orderBy(*order).limit(sample).collect():
+        if r.lines <= left:
+            left -= r.lines
+            wanted.append((r.id, r.label, r.lines, r.key))
+    if not wanted:
         return fit_quality(np.zeros((0, WIDTH)), np.zeros(0), np.zeros(1, dtype=np.int64), np.zeros(0))
+    known = docs.sparkSession.createDataFrame(wanted, f"id {kind}, label int, lines int, key long").distinct()
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("id", "label", "lines", "key")]
+    some = rows.alias("r").join(F.broadcast(known).alias("k"), same, "left_semi")
+    got = some.select("id", "label", "text").mapInArrow(_featured, f"id {kind}, label int, x binary, size binary").orderBy(F.xxhash64("id"), "id", "label", F.length("x"), F.xxhash64("x")).limit(len(wanted)).collect()
     x = [np.frombuffer(r.x, dtype="<f4").reshape(-1, WIDTH).astype(np.float64) for r in got]
     first = np.cumsum([0, *(len(v) for v in x)])
     return fit_quality(np.concatenate(x), np.concatenate([np.frombuffer(r.size, dtype="<f8") for r in got]), first, np.array([r.label for r in got]))
