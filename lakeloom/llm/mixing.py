@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import drop_saved, saved
+from lakeloom.llm.common import drop_saved, saved, spread_join
 
 BINS = 4096
 #: Shares in which tied rows are numbered.
@@ -138,14 +138,22 @@ def _decided(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 
 
 def _first_of_tied(rows: DataFrame) -> DataFrame:
-    """Of the rows of each rank, the first ``_some`` are drawn. Which they are has no bearing on the result: they are alike."""
-    rows = saved(rows.withColumn("_slot", F.pmod(F.monotonically_increasing_id(), F.lit(SLOTS)).cast("int")))
-    per = rows.groupBy(F.col("source").alias("_of"), F.col("q").alias("_q"), F.col("_slot").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_of", "_q").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select("_of", "_q", "_s", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("source", "q", "_slot").orderBy("size")))
-    numbered = numbered.join(per, F.col("source").eqNullSafe(F.col("_of")) & (F.col("q") == F.col("_q")) & (F.col("_slot") == F.col("_s")))
-    return numbered.withColumn("_drawn", F.col("_k") + F.col("_before") <= F.col("_some")).drop("_slot", "_of", "_q", "_s", "_k", "_before")
+    """Of the rows of each rank, the first ``_some`` by a digest of all their columns are drawn; of rows that are alike in
+    every column it does not matter which."""
+    own = [c for c in rows.columns if not c.startswith("_") and c != "q"]
+    rows = saved(rows.withColumn("_digest", F.sha2(F.to_json(F.struct(*own)).cast("binary"), 256)).withColumn("_slot", F.pmod(F.monotonically_increasing_id(), F.lit(SLOTS)).cast("int")))
+    # by digest: how many rows come before, in runs of digests that begin alike
+    per = rows.groupBy("source", "q", "_digest").agg(F.count(F.lit(1)).alias("_n"), F.max("_some").alias("_of")).withColumn("_run", F.substring("_digest", 1, 2))
+    before = lambda by, order: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = per.groupBy(F.col("source").alias("_a"), F.col("q").alias("_b"), F.col("_run").alias("_c")).agg(F.sum("_n").alias("_n"))
+    runs = runs.select("_a", "_b", "_c", before(["_a", "_b"], "_c").alias("_earlier"))
+    per = per.withColumn("_inside", before(["source", "q", "_run"], "_digest")).join(runs, F.col("source").eqNullSafe(F.col("_a")) & (F.col("q") == F.col("_b")) & (F.col("_run") == F.col("_c")))
+    per = per.select("_digest", "_n", F.least(F.col("_n"), F.greatest(F.lit(0), F.col("_of") - F.col("_earlier") - F.col("_inside"))).alias("_take"))
+    # rows alike, of which some are drawn, are numbered in slots
+    slots = rows.groupBy("_digest", "_slot").agg(F.count(F.lit(1)).alias("_n")).select("_digest", "_slot", before(["_digest"], "_slot").alias("_before"))
+    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_digest", "_slot").orderBy("size"))).join(slots, ["_digest", "_slot"])
+    numbered = spread_join(numbered, per.select("_digest", "_take"), "_digest", "_slot")
+    return numbered.withColumn("_drawn", F.col("_k") + F.col("_before") <= F.col("_take")).drop("_digest", "_slot", "_take", "_k", "_before")
 
 
 def mix_sources(
@@ -158,7 +166,8 @@ def mix_sources(
     size, and the excess goes to the others by weight. taken = copies * size, copies <= cap; a source's taken words
     fall short of its target by less than the smallest document that was passed over for want of room.
     Null sources are a source; null ids count as one id; texts without words get no copies; of rows with the same id
-    and size, which have the same rank, as many are taken as fit; an empty table gives an empty result. The seed fixes
+    and size, which have the same rank, as many are taken as fit, in the order of a digest of
+    their columns; an empty table gives an empty result. The seed fixes
     how many of each are taken. Other columns are not read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _size(F.col(text_col).cast("string")).alias("size"))
     sizes = saved(rows)

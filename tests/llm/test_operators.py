@@ -148,6 +148,16 @@ def test_mixing_takes_some_of_tied_rows(spark):
     assert mixed.count() == sum(c * n for (_, _, c), n in taken.items())
 
 
+def test_mixing_takes_the_same_of_tied_rows_in_any_order(spark):
+    """Rows of one id and size with unlike texts, some of them alike in all columns: the digest decides, not the place."""
+    rows = [(7, f"a{k // 2} b c", "s") for k in range(20)] + [(None, f"n{k} m", "s") for k in range(15)] + [(100 + k, "w " * (1 + k % 5), "t") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    orders = (df.coalesce(1), df.orderBy(F.desc("text")).coalesce(1), df.repartition(6), df.repartition(3, "text"))
+    first, *rest = [sorted(map(str, mixed_documents(x).collect())) for x in orders]
+    assert all(r == first for r in rest)
+    assert len(first) == mix_sources(df).agg(F.sum("copies")).first()[0]
+
+
 def test_byte_bpe(spark, docs, none):
     import base64
 
