@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
+from lakeloom.operators.ordering import with_index
 from lakeloom.operators.scoring import shared_grams
 
 
@@ -46,31 +48,68 @@ def advantage(df: DataFrame, by: str, reward: str, name: str = "advantage") -> D
     return out.withColumn(name, (F.col(reward) - F.col("_mean")) / (F.col("_std") + F.lit(1e-8))).drop("_by", "_mean", "_std")
 
 
+#: Clusters of a leaf of the tree that draws are dealt down.
+LEAF = 4096
+
+
+def leaf_draws(seed: int, draw: int, clusters: int, leaf: int, size: int = LEAF) -> np.ndarray:
+    """How often resample number ``draw`` of n of n clusters has each cluster of leaf number ``leaf`` (its first is
+    cluster leaf * size).
+
+    The n draws of a resample are dealt down a binary tree over the leaves: at each node a binomial count, seeded by
+    (seed, draw, node), goes left. A leaf's count thus follows from the seed alone, and leaves' counts add up to n."""
+    count, first, last, node = clusters, 0, -(-clusters // size), 1
+    width = lambda lo, hi: min(hi * size, clusters) - lo * size
+    while last - first > 1:
+        middle = (first + last) // 2
+        left = int(np.random.default_rng([seed, draw, node]).binomial(count, width(first, middle) / width(first, last)))
+        if leaf < middle:
+            count, last, node = left, middle, 2 * node
+        else:
+            count, first, node = count - left, middle, 2 * node + 1
+    own = width(leaf, leaf + 1)
+    return np.random.default_rng([seed, draw, node]).multinomial(count, np.full(own, 1 / own))
+
+
+def bound(means: list[float], alpha: float) -> float:
+    """The one-sided lower bound: the ceil(alpha * draws)-th smallest, at least the first."""
+    return sorted(means)[max(0, math.ceil(alpha * len(means)) - 1)]
+
+
+def paired_bootstrap(df: DataFrame, cluster: str, first: str, second: Column | str, draws: int = 2000, alpha: float = 0.05, seed: int = 0, leaf: int = LEAF) -> DataFrame:
+    """difference, low, clusters, cases, draws: the mean of first - second over all rows, and its one-sided lower bound, the
+    ceil(alpha * draws)-th smallest mean of ``draws`` resamples of n of n whole clusters, the same for both arms.
+
+    Clusters in order of their name are cut into leaves; a task deals the draws of its leaves by itself and sends two
+    numbers a draw, which add up. Fewer than two clusters, 100 draws or a score that is null or not finite are errors."""
+    if draws < 100 or not 0 < alpha < 0.5:
+        raise ValueError("at least 100 draws and an alpha between 0 and 0.5")
+    second = F.col(second) if isinstance(second, str) else second
+    gap = F.col(first).cast("double") - second.cast("double")
+    sound = F.coalesce((F.abs(F.col(first).cast("double")) < F.lit(math.inf)) & (F.abs(second.cast("double")) < F.lit(math.inf)) & ~F.isnan(gap), F.lit(False))
+    per = df.groupBy(F.col(cluster).cast("string").alias("cluster")).agg(F.sum(gap).alias("total"), F.count(F.lit(1)).alias("n"), F.max((~sound).cast("int")).alias("bad"))
+    placed = with_index(per, "cluster", name="at")
+    whole = placed.agg(F.count(F.lit(1)).alias("clusters"), F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("bad").alias("bad")).first()
+    if whole.bad or whole.clusters < 2:
+        raise ValueError("scores must be finite" if whole.bad else "at least two clusters are needed")
+    clusters = whole.clusters
+
+    def resampled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        number, own = int(pdf["at"].iloc[0]) // leaf, pdf[["total", "n"]].to_numpy(dtype=np.float64)
+        sums = np.stack([leaf_draws(seed, d, clusters, number, leaf) @ own for d in range(draws)])
+        return pd.DataFrame({"leaf": number, "draw": range(draws), "total": sums[:, 0], "n": sums[:, 1]})
+
+    sums = placed.groupBy(F.floor(F.col("at") / leaf).alias("_leaf")).applyInPandas(resampled, "leaf long, draw int, total double, n double")
+    means = sums.groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    every = F.array_sort(F.collect_list("mean"))  # ``draws`` numbers
+    low = means.agg(F.element_at(every, max(1, math.ceil(alpha * draws))).alias("low"))
+    return low.select(F.lit(whole.total / whole.n).alias("difference"), "low", F.lit(clusters).cast("long").alias("clusters"), F.lit(whole.n).cast("long").alias("cases"), F.lit(draws).alias("draws"))
+
+
 def clustered_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """mean, low, clusters: the mean and its one-sided lower bound, the ceil(alpha * draws)-th smallest of the means of
-    ``draws`` resamples of whole clusters.
-
-    Resamples that draw no cluster don't count. Each task draws Poisson counts for the clusters it has, by draw, and sends the sums: two numbers a draw and task."""
-    per = df.groupBy(cluster).agg(F.sum(value).cast("double").alias("total"), F.count(value).alias("n"))
-
-    def resampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        total, n = np.zeros(draws), np.zeros(draws)
-        for b in batches:
-            for key, t, k in zip(b["key"], b["total"], b["n"], strict=True):
-                times = np.random.default_rng([seed, int(key) & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, draws)
-                total += times * t
-                n += times * k
-        yield pd.DataFrame({"draw": range(draws), "total": total, "n": n})
-
-    keyed = per.select(F.xxhash64(cluster).alias("key"), "total", "n")
-    means = keyed.mapInPandas(resampled, "draw int, total double, n double").groupBy("draw").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean")).where("mean is not null")
-    place = -(-int(alpha * draws * 1_000_000) // 1_000_000)
-    every = F.array_sort(F.collect_list("mean"))  # ``draws`` numbers at most
-    low = F.element_at(every, F.least(F.lit(max(place, 1)), F.size(every))).alias("low")
-    whole = per.agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("clusters"))
-    return whole.join(means.agg(low))
+    """mean, low, clusters: the mean of a value and its one-sided lower bound, as in paired_bootstrap()."""
+    return paired_bootstrap(df, cluster, value, F.lit(0.0), draws, alpha, seed).select(F.col("difference").alias("mean"), "low", "clusters")
 
 
 def token_f1(df: DataFrame, keys: list[str], prediction: Column, truth: Column) -> DataFrame:

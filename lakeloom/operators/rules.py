@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import stripped, word_count
+from lakeloom.sources.scratch import Scratch
 
 # Extensions of images in samples.
 IMAGES = ("jpg", "jpeg", "png", "webp")
@@ -71,8 +72,18 @@ def usable_episodes(episodes: DataFrame, index: str, length: str, present: Colum
 
 def compatible(presets: DataFrame, designs: DataFrame, needs: str, offers: str, requires: str) -> DataFrame:
     """Pairs of a preset and a design in which the design offers all the preset needs, and the preset has all the design
-    requires. Both are short lists of settings; one is sent to the other's tasks."""
-    return presets.join(F.broadcast(designs), (F.size(F.array_except(needs, offers)) == 0) & (F.size(F.array_except(requires, needs)) == 0))
+    requires. Neither side is sent to all tasks: a preset meets the designs that offer the one of its needs which the
+    fewest offer, and those pairs are looked at whole. A preset without needs meets the designs that require nothing."""
+    scratch = Scratch(presets.sparkSession)
+    left = scratch.saved(presets.withColumn("_l", F.monotonically_increasing_id()))
+    right = scratch.saved(designs.withColumn("_r", F.monotonically_increasing_id()))
+    offered = right.select("_r", F.explode(F.array_distinct(offers)).alias("_t")).where("_t is not null")
+    needed = left.select("_l", F.explode(F.array_distinct(needs)).alias("_t")).where("_t is not null")
+    rare = needed.join(offered.groupBy("_t").agg(F.count(F.lit(1)).alias("_n")), "_t", "left").groupBy("_l").agg(F.min_by("_t", F.struct(F.coalesce("_n", F.lit(0)), "_t")).alias("_t"))
+    free = left.join(rare, "_l", "left_anti").select("_l").withColumn("_one", F.lit(1))
+    pairs = rare.join(offered, "_t").select("_l", "_r").union(free.join(right.where(F.size(F.array_compact(requires)) <= 0).select("_r").withColumn("_one", F.lit(1)), "_one").select("_l", "_r"))
+    met = left.join(pairs, "_l").join(right, "_r").where((F.size(F.array_except(F.array_compact(needs), offers)) == 0) & (F.size(F.array_except(F.array_compact(requires), needs)) == 0))
+    return met.select(*presets.columns, *designs.columns)
 
 
 def in_modalities(modality: Column, requested: list[str]) -> Column:

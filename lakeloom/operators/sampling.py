@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators import ordering
+from lakeloom.sources.scratch import Scratch
+
+#: Ranges of groups, a few hundred bytes each, that are sent to all tasks; more meet their rows in a shuffle.
+BROADCAST = 10_000
 
 
 def draws(spark: SparkSession, sizes: list[tuple[str, float, int]], n: int, seed: int) -> DataFrame:
@@ -62,15 +66,48 @@ def interleaved(df: DataFrame, source: str, weights: dict[str, float], *order: s
     return out
 
 
-def ranked_in_group(df: DataFrame, group: str, *order: str, ranges: int = ordering.RANGES) -> DataFrame:
+def _parted(df: DataFrame, group: str, order: tuple[str, ...], ranges: int, most: int) -> DataFrame:
+    """``df`` with _part: numbers of ranges that follow the order within each group.
+
+    The first column's quantiles over all rows cut every group alike. A group's range that is still larger than ``most``
+    rows is cut by its own quantiles: by the same column, or by the next one where the column has one value in it, and so
+    on, so that a hot group and ties are spread as far as the columns tell rows apart."""
+    values = ordering._numbers(order, dict(df.dtypes))
+    quantiles = [k / ranges for k in range(1, ranges)]
+    wide = 2 * ranges + 2
+
+    def cut(value, cuts):
+        """0 for nulls; else odd between two cuts, and even on one: only there and at 0 the range has but one value."""
+        return F.when(value.isNull(), 0).otherwise(1 + 2 * F.size(F.filter(cuts, lambda c: c < value)) + F.array_contains(cuts, value).cast("int"))
+
+    scratch: list[Scratch] = []
+    first = df.select(F.percentile_approx(values[0], quantiles, 10_000)).first()[0] or []
+    out = df.withColumn("_part", cut(values[0], F.array(*map(F.lit, sorted(set(first)))).cast("array<double>")).cast("long"))
+    for value, of_one in [(values[0], False), *((v, True) for v in values[1:])]:
+        cells = out.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        large = cells.where((F.col("_n") > most) & (F.pmod("_p", F.lit(2)) == (0 if of_one else 1))).select("_g", "_p")
+        n = large.count()
+        if not n:
+            continue
+        if not scratch:
+            scratch.append(Scratch(df.sparkSession))
+        out = scratch[0].saved(out)  # what follows reads it three times, and each stage builds on the one before
+        large = scratch[0].saved(large)
+        same = out[group].eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))
+        own = out.join(F.broadcast(large) if n <= BROADCAST else large, same).groupBy("_g", "_p").agg(F.array_distinct(F.percentile_approx(value, quantiles, 10_000)).alias("_cuts"))
+        own = own.withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<double>")))
+        # each stage shifts the numbers of before, so that an untouched range keeps its parity at the end
+        part = F.when(F.col("_cuts").isNotNull(), F.col("_part") * wide + cut(value, F.col("_cuts"))).otherwise(F.col("_part") * wide + F.pmod(F.col("_part"), F.lit(2)))
+        out = out.join(F.broadcast(own) if n <= BROADCAST else own, same, "left").withColumn("_part", part.cast("long")).drop("_g", "_p", "_cuts")
+    return out
+
+
+def ranked_in_group(df: DataFrame, group: str, *order: str, ranges: int = ordering.RANGES, most: int = ordering.RANGE_ROWS) -> DataFrame:
     """Adds rank (from 0) and n: a row's place in its group and the group's rows.
 
-    Its quantiles cut all groups into the same ranges, and a range of a group is ordered by itself, so that a hot group
-    is spread over tasks; a row a group and range says where the range begins."""
-    value = ordering.number_of(df, order[0])
-    cuts = df.select(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < value)) if cuts else F.lit(0)
-    placed = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
+    A range of a group is ordered by itself, so that a hot group and rows that tie are spread over tasks; a row a group and
+    range says where the range begins."""
+    placed = _parted(df, group, order, ranges, most)
     counts = placed.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     every = Window.partitionBy("_g")
     before = F.sum("_n").over(every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
@@ -80,13 +117,10 @@ def ranked_in_group(df: DataFrame, group: str, *order: str, ranges: int = orderi
     return out.withColumn("rank", F.col("_k") + F.col("_before")).drop("_part", "_g", "_p", "_k", "_before")
 
 
-def running_in_group(df: DataFrame, group: str, value: str, *order: str, ranges: int = ordering.RANGES) -> DataFrame:
-    """Adds steps and total: how many rows of a row's group come up to it, and their values' sum, in an order that begins
-    with a number. Cut into ranges as in ranked_in_group()."""
-    number = ordering.number_of(df, order[0])
-    cuts = df.select(F.percentile_approx(number, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < number)) if cuts else F.lit(0)
-    placed = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
+def running_in_group(df: DataFrame, group: str, value: str, *order: str, ranges: int = ordering.RANGES, most: int = ordering.RANGE_ROWS) -> DataFrame:
+    """Adds steps and total: how many rows of a row's group come up to it, and their values' sum. Cut into ranges as in
+    ranked_in_group()."""
+    placed = _parted(df, group, order, ranges, most)
     per = placed.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
     before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_g", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_nb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_sb"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.operators import ordering, packing, pairing, selection
+from lakeloom.functions import blake2
+from lakeloom.operators import metrics, ordering, packing, pairing, selection
 from lakeloom.plans.queries import query, t
 from lakeloom.sources.scratch import Scratch
 
@@ -118,3 +119,27 @@ def selected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = {"same_head": F.substring("text", 1, 24), "same_pixels": F.md5(F.col("text").cast("binary"))}
     out = selection.select_first(d, ["doc_id"], why, keys, {"near": shared}, key="doc_id")
     return out.select("doc_id", "taken", "reason")
+
+
+# ---- keys and draws that SQL cannot make; they are tested against plain Python -----------------------------------
+
+
+@query()
+def blake2b_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the seeded order of 128-bit keys."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat(F.lit("shards/"), F.col("doc_id") % 100, F.lit(".tar")).alias("shard"), F.col("doc_id").cast("string").alias("key"))
+    return blake2.shuffled(d, 42, "lang", "source", "shard", "key").select("doc_id", "random_key", "idx")
+
+
+@query()
+def blake2b_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents split by shares of their ids that stay as the table grows."""
+    return blake2.stable_split(t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.1, 0.1)
+
+
+@query()
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether orders are worth more than their lines' list prices, by clusters of customers."""
+    lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("list"))
+    d = t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_totalprice", "list")
+    return metrics.paired_bootstrap(d, "o_custkey", "o_totalprice", "list", draws=400)
