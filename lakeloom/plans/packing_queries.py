@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import blake2
-from lakeloom.operators import metrics, ordering, packing, pairing, selection
+from lakeloom.operators import crystals, metrics, ordering, packing, pairing, selection
 from lakeloom.plans.queries import query, t
 from lakeloom.sources.scratch import Scratch
 
@@ -143,3 +143,26 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("list"))
     d = t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_totalprice", "list")
     return metrics.paired_bootstrap(d, "o_custkey", "o_totalprice", "list", draws=400)
+
+
+_FRACTION = "({0} * 37 % 101) / CAST(101 AS DOUBLE)"
+
+
+@query(
+    f"""
+WITH a AS (SELECT l_orderkey AS structure, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS atom, {_FRACTION.format("l_partkey")} AS x, {_FRACTION.format("l_suppkey")} AS y, {_FRACTION.format("CAST(l_quantity AS BIGINT)")} AS z FROM lineitem),
+l AS (SELECT o_orderkey AS structure, 4.5::DOUBLE + o_custkey % 7 AS w, (o_custkey % 3)::DOUBLE AS skew FROM orders),
+m AS (SELECT p.structure, p.atom, q.atom AS neighbour, q.x + i - p.x AS dx, q.y + j - p.y AS dy, q.z + k - p.z AS dz, w, skew FROM a p JOIN a q USING (structure) JOIN l USING (structure), generate_series(-1, 1) AS gi(i), generate_series(-1, 1) AS gj(j), generate_series(-1, 1) AS gk(k)),
+d AS (SELECT *, sqrt((dx * w + dy * skew) ** 2 + (dy * w) ** 2 + (dz * w) ** 2) AS distance FROM m)
+SELECT structure, atom, CAST(count(*) AS BIGINT) AS neighbours, round(min(distance), 6) AS nearest, round(sum(distance), 4) AS total FROM (SELECT *, row_number() OVER (PARTITION BY structure, atom ORDER BY distance) AS r FROM d WHERE distance <= 3 AND distance > 1e-8) WHERE r <= 6 GROUP BY ALL
+"""
+)
+def crystal_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as crystals whose lines are atoms: neighbours within 3, six an atom."""
+    fraction = lambda c: (F.col(c).cast("long") * 37 % 101) / F.lit(101.0)
+    lines = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("structure")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q")))).alias("ls"))  # the lines of one order
+    atoms = lines.select("structure", F.posexplode("ls").alias("k", "l")).select("structure", (F.col("k") + 1).cast("long").alias("atom"), fraction("l.l_partkey").alias("x"), fraction("l.l_suppkey").alias("y"), fraction("l.q").alias("z"))
+    w, skew, none = F.lit(4.5) + F.col("o_custkey") % 7, (F.col("o_custkey") % 3).cast("double"), F.lit(0.0)
+    lattices = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("structure"), F.array(w, none, none).alias("a"), F.array(skew, w, none).alias("b"), F.array(none, none, w).alias("c"))
+    near = crystals.crystal_neighbours(atoms, lattices, cutoff=3.0, most=6)
+    return near.groupBy("structure", "atom").agg(F.count(F.lit(1)).alias("neighbours"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.sum("distance"), 4).alias("total"))
