@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,33 @@ def _share(condition: Column) -> Column:
     return F.coalesce(F.avg(F.coalesce(condition.cast("double"), F.lit(0.0))), F.lit(0.0))
 
 
-@F.pandas_udf(ArrayType(LongType()))  # a type by name would need a session
-def _shared_grams(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """For word lists x and y: how many n-grams the two bags share, for n = 1..order. Linear in the words."""
-    from collections import Counter
+def bag_overlaps(x: pd.Series, y: pd.Series, order: int) -> np.ndarray:
+    """A row for each pair of word lists: how many n-grams their bags share, for n = 1..order. All rows at once: words and
+    then n-grams are numbered, and equal numbers of a row are counted on either side."""
+    n = len(x)
+    sizes = np.concatenate([x.map(len).to_numpy(dtype=np.int64), y.map(len).to_numpy(dtype=np.int64)])
+    words = pd.factorize(np.concatenate([*(np.asarray(w, dtype=object) for w in (*x, *y)), np.zeros(0, dtype=object)]))[0]
+    row = np.repeat(np.arange(2 * n), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words from here to the end of the list
+    out, gram = np.zeros((n, order), dtype=np.int64), words
+    for k in range(1, order + 1):
+        if k > 1:
+            whole = np.flatnonzero(left >= k)
+            gram = np.full(len(words), -1)
+            gram[whole] = np.unique(before[whole] * (words.max(initial=0) + 1) + words[whole + k - 1], return_inverse=True)[1]
+        at = np.flatnonzero(left >= k)
+        key = (row[at] % max(n, 1)) * (gram.max(initial=0) + 1) + gram[at]
+        (a, m), (b, o) = (np.unique(key[own], return_counts=True) for own in (row[at] < n, row[at] >= n))
+        both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        out[:, k - 1] = np.bincount(both // (gram.max(initial=0) + 1), np.minimum(m[i], o[j]), n)
+        before = gram
+    return out
 
-    def grams(words, n: int) -> Counter:
-        return Counter(words) if n == 1 else Counter(zip(*(words[k:] for k in range(n)), strict=False))
 
+@F.pandas_udf(ArrayType(LongType()))  # a type by name would need a session
+def _shared_grams(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for x, y, order in batches:
-        yield pd.Series([[(grams(list(a), n) & grams(list(b), n)).total() for n in range(1, k + 1)] for a, b, k in zip(x, y, order, strict=True)])
+        yield pd.Series(list(bag_overlaps(x, y, int(order.iloc[0])))) if len(x) else pd.Series([], dtype=object)
 
 
 def shared_grams(x: Column, y: Column, order: int = 1) -> Column:

@@ -118,11 +118,12 @@ def episode_chunks(spark: SparkSession, root: str, columns: list[str], chunks: i
 
 
 def train_files(spark: SparkSession, root: str, banned: tuple[str, ...] = ("test", "validation"), limit: int | None = None) -> DataFrame:
-    """The rows of Parquet files under ``root`` whose names hold none of the ``banned`` words."""
+    """The rows of Parquet files under ``root`` whose names hold none of the ``banned`` words; with ``limit`` the first so
+    many, files by name."""
     rows = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(root)
     name = F.lower(F.col("_metadata.file_name"))
     kept = rows.where(~F.coalesce(*(F.when(F.contains(name, F.lit(b)), True) for b in banned), F.lit(False)))
-    return kept if limit is None else kept.limit(limit)
+    return kept if limit is None else kept.orderBy("_metadata.file_path", "_metadata.row_index").limit(limit)
 
 
 def tensor_problem(payload: Column, kind: Column, shape: Column) -> Column:

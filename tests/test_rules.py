@@ -109,6 +109,11 @@ def test_episodes_and_training_files(spark, tmp_path):
     for n in ("train-0", "Test-0", "validation-1"):
         spark.createDataFrame([(n,)], "n string").toPandas().to_parquet(names / f"{n}.parquet")
     assert [r.n for r in tables.train_files(spark, f"file://{names}").collect()] == ["train-0"]
+    many = tmp_path / "many"
+    for k in range(4):
+        spark.range(10 * k, 10 * k + 10, 1, 1).write.parquet(f"file://{many}/part{k}")
+    first = [sorted(r.id for r in tables.train_files(spark, f"file://{many}", limit=25).collect()) for _ in range(2)]
+    assert first == [list(range(25))] * 2
 
 
 def test_tensors(spark):
@@ -215,3 +220,22 @@ def test_modality_and_file_time(spark, tmp_path):
     rows = spark.read.schema("s string").json(f"file://{tmp_path}")
     assert [r.s for r in rules.changed_since(rows, F.lit("2000-01-01").cast("timestamp"), "s", "x").collect()] == ["x"]
     assert rules.changed_since(rows, F.lit("2999-01-01").cast("timestamp")).count() == 0
+
+
+def test_bag_overlaps_against_counters():
+    import random
+    from collections import Counter
+
+    import pandas as pd
+
+    rng = random.Random(6)
+    lists = [[[rng.choice("abcdeé") for _ in range(rng.randrange(12))] for _ in range(60)] for _ in range(2)]
+    got = scoring.bag_overlaps(*map(pd.Series, lists), 4)
+    grams = lambda w, n: Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    assert got.tolist() == [[(grams(a, n) & grams(b, n)).total() for n in range(1, 5)] for a, b in zip(*lists, strict=True)]
+    assert scoring.bag_overlaps(pd.Series([[], []]), pd.Series([["a"], []]), 2).tolist() == [[0, 0], [0, 0]]
+
+
+def test_samples_of_shards_without_a_number(spark):
+    df = spark.createDataFrame([("a", 5, 100, 4), ("b", None, 103, 4), ("c", None, None, None), ("d", None, 2, 9)], "name string, samples int, total int, shards int")
+    assert {r.name: r.samples for r in manifests.staged_samples(df, "samples", "total", "shards").collect()} == {"a": 5, "b": 25, "c": 1, "d": 1}
