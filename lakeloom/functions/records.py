@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakeloom.functions.samples import number_list
 from lakeloom.functions.text import caption, stripped, words
 
 
@@ -79,6 +80,20 @@ def question_and_target(prompts: list[Column], targets: list[Column], descriptio
     )
 
 
+def series_values(fields: list[Column], lists: list[Column], text: Column) -> Column:
+    """The numbers of a record's series: those of the first text field present, a bracketed list; where
+    it has none the first of ``lists`` with more than ten numbers; else what a text marked with ``###`` holds besides the
+    marks, if all of it is numbers. Null where there is no series."""
+    numbers = lambda c: F.when(c.rlike(r"^\s*\["), number_list(c))
+    first = F.coalesce(*fields)
+    long_ = F.coalesce(*(F.when((F.size(v) > 10) & F.get(v, F.lit(0)).isNotNull(), v.cast("array<double>")) for v in lists)) if lists else F.lit(None).cast("array<double>")
+    parts = F.filter(F.split(F.replace(text, F.lit("###"), F.lit(" ")), r"\s+"), lambda x: x != "")
+    values = F.transform(parts, lambda x: x.try_cast("double"))
+    marked = F.when(F.contains(text, F.lit("###")) & F.forall(values, lambda v: v.isNotNull()), values)
+    some = lambda v: F.when(F.size(v) > 0, v)
+    return F.coalesce(some(numbers(first)), some(long_), some(marked))
+
+
 def variates_kept(rows: Column, budget: int, length: int) -> Column:
     """The first rows of a multivariate series that leave a quarter of the budget free, one at least."""
     return F.slice(rows, 1, max(1, (budget - budget // 4) // length))

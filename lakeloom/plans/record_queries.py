@@ -89,6 +89,24 @@ def question_and_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "orders").select("o_orderkey", got.alias("r")).select("o_orderkey", "r.prompt", "r.target")
 
 
+@query(
+    """
+WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS k, [o_custkey::DOUBLE, o_totalprice, -1.5] AS v FROM orders)
+SELECT o_orderkey, CAST(CASE k WHEN 3 THEN 12 WHEN 4 THEN 0 ELSE 3 END AS BIGINT) AS n, CASE k WHEN 3 THEN round(4 * (v[1] + v[2] - 1.5), 4) WHEN 4 THEN NULL ELSE round(v[1] + v[2] - 1.5, 4) END AS total FROM o
+"""
+)
+def series_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' numbers as a bracketed text under the first or the second key, a long list, or a marked text, or as words."""
+    k, v = F.col("o_orderkey") % 5, F.array(F.col("o_custkey").cast("double"), F.col("o_totalprice"), F.lit(-1.5))
+    said = F.array_join(v.cast("array<string>"), ", ")
+    bracketed = F.concat(F.lit("["), said, F.lit("]"))
+    lists = [v, F.when(k == 3, F.flatten(F.array_repeat(v, 4)))]
+    text = F.when(k == 2, F.concat(F.lit("###"), F.replace(said, F.lit(", "), F.lit("###")), F.lit("###"))).when(k == 4, F.lit("### words ###"))
+    values = R.series_values([F.when(k == 0, bracketed), F.when(k == 1, bracketed).when(k == 3, F.lit("none"))], lists, text)
+    total = F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4)
+    return t(spark, sf_dir, "orders").select("o_orderkey", values.alias("v")).select("o_orderkey", F.coalesce(F.size("v"), F.lit(0)).cast("long").alias("n"), total.alias("total"))
+
+
 @query("SELECT vec_id, CAST(CASE WHEN vec_id % 2 = 0 THEN 3 ELSE 1 END AS BIGINT) AS n FROM embeddings")
 def variates_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector ten times over as a multivariate series, under two lengths; one of them is longer than the budget."""
