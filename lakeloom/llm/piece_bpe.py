@@ -12,6 +12,7 @@ in long pieces between any two characters that never stand side by side in an en
 from __future__ import annotations
 
 import math
+import re
 import struct
 import sys
 from array import array
@@ -21,7 +22,6 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,10 +147,10 @@ class PieceEncoder(dict):
         self.sizes = list(map(len, self.tokens))
         self.touching = {(ord(a) << 21) | ord(b) for p in self.score for a, b in zip(p, p[1:], strict=False)}
         self.beside = np.array(sorted(self.touching), dtype=np.int64)
-        none = regex.escape("".join(c for c in map(chr, range(128)) if c not in alphabet))
+        none = re.escape("".join(c for c in map(chr, range(128)) if c not in alphabet))
         inside = any(a != BLANK and b == BLANK for p in self.score for a, b in zip(p, p[1:], strict=False))
         word = f"[^{none}]+" if inside else f"{BLANK}*[^{BLANK}{none}]+|{BLANK}+"
-        self.cut = regex.compile(f"[{none}]|{word}" if none else word)
+        self.cut = re.compile(f"[{none}]|{word}" if none else word)
 
     def together(self, a: int, b: int) -> bool:
         """Whether merging leaves the border of two neighbouring tokens alone."""
@@ -162,30 +162,26 @@ class PieceEncoder(dict):
             out = self.fits[key] = merged(x + y, self.score) == [x, y]
         return out
 
-    def last_tokens(self, text: str) -> array:
+    def last_tokens(self, text: str) -> list[int]:
         """For each prefix the last of its tokens; -1 for the empty one and after a character that no piece has."""
-        last = array("i", [-1]) * (len(text) + 1)
-        known = self.fits.get
+        last = [-1] * (len(text) + 1) if len(text) <= MEMO_CHARS else array("i", [-1]) * (len(text) + 1)
+        known, together = self.fits.get, self.together
         for end, (token, size) in self.automaton.iter(text) if self.score else ():
-            end += 1
-            if last[end] >= 0:
-                continue  # a prefix has one
-            before = last[end - size]
-            if before >= 0:
-                fits = known((before << 32) | token)
-                if not (self.together(before, token) if fits is None else fits):
-                    continue
-            last[end] = token
+            if last[end + 1] < 0:  # a prefix has one
+                before = last[end + 1 - size]
+                if before < 0 or (together(before, token) if (fits := known((before << 32) | token)) is None else fits):
+                    last[end + 1] = token
         return last
 
     def _ids(self, text: str) -> bytes:
         if len(text) > 2 and text[-1] in MARKS and (ord(text[-2]) << 21) | ord(text[-1]) not in self.touching:
             return self[text[:-1]] + self[text[-1]]
         last, known, sizes, out, end = self.last_tokens(text), len(self.model.pieces), self.sizes, array("i"), len(text)
+        append = out.append
         while end:
             token = last[end]
             if 0 <= token < known:
-                out.append(token)
+                append(token)
                 end -= sizes[token]
             else:
                 out.extend(self.bytes[b] for b in reversed(text[end - 1].encode("utf-8", "surrogatepass")))
