@@ -239,3 +239,11 @@ def test_bag_overlaps_against_counters():
 def test_samples_of_shards_without_a_number(spark):
     df = spark.createDataFrame([("a", 5, 100, 4), ("b", None, 103, 4), ("c", None, None, None), ("d", None, 2, 9)], "name string, samples int, total int, shards int")
     assert {r.name: r.samples for r in manifests.staged_samples(df, "samples", "total", "shards").collect()} == {"a": 5, "b": 25, "c": 1, "d": 1}
+
+
+def test_series_of_records(spark):
+    many = [float(k) for k in range(12)]
+    rows = [("[1, 2.5]", None, None, None, [1.0, 2.5]), (None, "[3]", many, "###9###", [3.0]), ("words", "[3]", many, None, many), (None, None, many[:10], "### 4 ###5", [4.0, 5.0]), (None, None, None, "###4 five", None), ("[]", None, None, "no marks 7", None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, v array<double>, t string, want array<double>")
+    got = df.select("want", records.series_values([F.col("a"), F.col("b")], [F.col("v")], F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
