@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import drop_saved, saved, shared_dir, slices
 
 MAGIC, RANKS = b"LLTOKEN1", b"LLRANKS1"
+#: Ids of a part, on average, at most: parts are as many as a shuffle has, or more where there are more ids.
+PART_IDS = 50_000_000
 #: A file is closed once it has so many bytes of ranks.
 FILE_BYTES = 1 << 25
 #: Ranks that a reader unpacks at once.
@@ -386,8 +388,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     shared = spark.sparkContext.broadcast(rank_of)
     # ids are cut into ranges once, from the ids alone: a range partitioner would run the coding twice
     tokens_only = tokens.where("met is null")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = tokens_only.select(F.percentile_approx(F.coalesce("id", F.lit(_NULL_ID)), [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    ids = tokens_only.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ids // PART_IDS)
+    cuts = tokens_only.select(F.percentile_approx(F.coalesce("id", F.lit(_NULL_ID)), [k / parts for k in range(1, parts)] or [0.5], max(10_000, 25 * parts))).first()[0] or []
     coded = "part int, id long, sum long, n long, control binary, data binary"
     packed = tokens_only.select("id", "sum", "n", "ids").mapInArrow(lambda batches: _packed(batches, shared, sorted(cuts), wide), coded)
     ordered = packed.repartition(parts, "part").sortWithinPartitions("part", "id", "sum", "n", "control", "data")
