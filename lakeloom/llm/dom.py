@@ -9,7 +9,7 @@ import numpy as np
 
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript noembed noframes iframe title head select textarea datalist".split())
+SILENT = frozenset("script style template noscript noembed noframes iframe title desc metadata head select textarea datalist".split())
 RAW = frozenset("script style noembed noframes iframe title textarea".split())
 #: Elements whose content is text as it stands.
 PLAIN = frozenset(("xmp",))
