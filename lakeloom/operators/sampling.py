@@ -84,6 +84,8 @@ def _parted(df: DataFrame, group: str, order: tuple[str, ...], ranges: int, most
     first = df.select(F.percentile_approx(values[0], quantiles, 10_000)).first()[0] or []
     out = df.withColumn("_part", cut(values[0], F.array(*map(F.lit, sorted(set(first)))).cast("array<double>")).cast("long"))
     for value, of_one in [(values[0], False), *((v, True) for v in values[1:])]:
+        if not scratch and (out.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= most:
+            return out  # as a rule: one look at the numbers
         cells = out.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
         large = cells.where((F.col("_n") > most) & (F.pmod("_p", F.lit(2)) == (0 if of_one else 1))).select("_g", "_p")
         n = large.count()
