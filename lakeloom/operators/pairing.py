@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,49 +58,111 @@ def calibrated(cells: DataFrame, calibration: DataFrame, keys: list[str], expect
 
 #: Rows that a bucket of near hashes is to have at most, on average, and from where it is divided by further bits.
 BUCKET, HOT = 64, 4096
-
-
-def _masks(within: list[int], parts: int, chosen: int) -> list[int]:
-    """Sets of bits: the bit numbers ``within`` in ``parts`` runs, each combination of ``chosen`` runs as a signed 64-bit mask."""
-    runs = [within[len(within) * k // parts : len(within) * (k + 1) // parts] for k in range(parts)]
+#: Channels whose cells part the colours, and the cells to either side of 0 that a channel has.
+CHANNELS, CELLS = 3, (1 << 20) - 2
+
+
+def _masks(within: list[int], parts: int, chosen: int, weight: list[float] | None = None) -> list[int]:
+    """Sets of bits: the bit numbers ``within`` in ``parts`` runs, each combination of ``chosen`` runs as a signed 64-bit
+    mask. Runs are equally long, or of about equal sums of the bits' weights."""
+    if weight is None:
+        runs = [within[len(within) * k // parts : len(within) * (k + 1) // parts] for k in range(parts)]
+    else:
+        runs = [[] for _ in range(parts)]
+        for bit in sorted(within, key=lambda b: -weight[b]):
+            min(runs, key=lambda r: (sum(weight[b] for b in r), len(r))).append(bit)
     masks = [sum(1 << bit for run in own for bit in run) for own in combinations(runs, chosen)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def _cell(means: str, color: float) -> list[Column]:
+    """The colours' cells, a little wider than ``color``, so that those of near colours are the same or neighbours."""
+    number = lambda i: F.coalesce(F.get(means, F.lit(i)).cast("double"), F.lit(0.0)) / (color * (1 + 1e-6))
+    return [F.floor(F.greatest(F.least(number(i), F.lit(float(CELLS))), F.lit(-float(CELLS)))).cast("long") for i in range(CHANNELS)]
+
+
+def _packed(cells: list[Column]) -> Column:
+    """One number for the cells of all channels."""
+    return sum((c * F.lit(1 << 21 * i).cast("long") for i, c in enumerate(cells[1:], 1)), cells[0])
+
+
+def _spread(classes: DataFrame, bits: str, means: str, color: float) -> tuple[float, int, list[float]]:
+    """How many rows a row shares its colours' cell with, on average, the most channels, and the entropy of each bit. One
+    pass, one row."""
+    ones = [F.sum(F.shiftrightunsigned(F.col(bits), b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64)]
+    cells = classes.groupBy(_packed(_cell(means, color)).alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.max(F.size(means)).alias("channels"), *ones)
+    row = cells.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max("channels").alias("channels"), *(F.sum(f"b{b}").alias(f"b{b}") for b in range(64))).first()
+    shares = [row[f"b{b}"] / row.n if row.n else 0.0 for b in range(64)]
+    return (row.squares / row.n if row.n else 0.0), row.channels or 0, [-sum(p * math.log2(p) for p in (q, 1 - q) if p > 0) for q in shares]
+
+
+def near_pairs(left: DataFrame, right: DataFrame | None, key: str, group: str | None, bits: str, means: str, distance: int = 4, color: float = 12.0) -> DataFrame:
+    """(a, b, distance): rows a of ``left`` and b of ``right`` (of left too, if it is None: then a < b, once a pair), of
+    different keys and groups, whose 64-bit hashes differ in at most ``distance`` bits and whose mean colours differ by
+    less than ``color`` in every channel. Keys, hashes and colours must be there.
+
+    Rows meet by the cells of their first colours, of which neighbours meet, and by runs of bits: hashes cut into
+    distance + j runs that near agree in j of them, and j grows with the number of rows in a cell, so that a bucket stays
+    small on average. Runs have about equal entropy, as bits that hardly vary tell nothing apart. A crowded bucket's rows
+    are divided again, by runs of their remaining bits, which near hashes share one of too. A pair is put out where it
+    first meets."""
+    own, other = [c for c in (group,) if c], left if right is None else right
+    crowd, channels, weight = _spread(other, bits, means, color)
+    j = 1
+    while j < 4 and crowd > BUCKET * 2 ** (64 * j / (distance + j)):
+        j += 1
+    masks = _masks(list(range(64)), distance + j, j, weight)
+    rest = [_masks([b for b in range(64) if not (m >> b) & 1], distance + 1, 1, weight) for m in masks]
+    array = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+
+    # joins are merged, as sides that grow from small files must not be gathered by the driver, nor pairs by few tasks
+    def side(rows: DataFrame, s: str, cell: Column) -> DataFrame:
+        named = rows.select(cell.alias("_c"), *(F.col(c).alias(f"{s}_{n}") for c, n in ((bits, "bits"), (means, "means"), (key, "key"), *((c, "group") for c in own))))
+        bands = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"{s}_bits").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(masks)))
+        return named.select("*", F.explode(bands).alias("_b")).select("*", "_b.k", "_b.v").drop("_b")
+
+    x = side(left, "x", _packed(_cell(means, color))).withColumnRenamed("_c", "c")
+    steps = [d for d in product((-1, 0, 1), repeat=CHANNELS) if right is not None or d[::-1] >= (0,) * CHANNELS]
+    around = F.array(*(F.lit(sum(step << 21 * i for i, step in enumerate(d))).cast("long") for d in steps))
+    y = side(other, "y", _packed(_cell(means, color))).withColumn("_d", F.explode(around)).withColumn("c", F.col("_c") + F.col("_d")).drop("_c")
+    crowded = Scratch(left.sparkSession).saved(x.groupBy("k", "v", "c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("k", "v", "c", F.lit(True).alias("_hot")))
+    apart = F.col("x_bits").bitwiseXOR(F.col("y_bits"))
+
+    def first_of(found: list[Column]) -> Column:
+        """The number of the first that holds."""
+        out = F.when(found[0], 0)
+        for n, c in enumerate(found[1:], 1):
+            out = out.when(c, n)
+        return out
+
+    # no function over arrays, which would leave the join without compiled code
+    same = F.size("x_means") == F.size("y_means")
+    for i in range(channels):
+        same = same & ((F.size("x_means") <= i) | (F.abs(F.get("x_means", F.lit(i)) - F.get("y_means", F.lit(i))) < color))
+    ordered = F.col("x_key") != F.col("y_key") if right is not None else (F.col("x_key") < F.col("y_key")) | ((F.col("_d") != 0) & (F.col("x_key") != F.col("y_key")))
+    near = (F.bit_count(apart) <= distance) & ordered & (F.col("x_group") != F.col("y_group") if own else F.lit(True)) & F.coalesce(same, F.lit(False))
+    near = near & (F.col("k") == first_of([apart.bitwiseAND(F.lit(m).cast("long")) == 0 for m in masks]))
+    ends = [F.col("x_key").alias("a"), F.col("y_key").alias("b")] if right is not None else [F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")]
+    out = [*ends, F.bit_count(apart).alias("distance")]
+    if crowded.isEmpty():
+        return x.join(y.hint("merge"), ["c", "v", "k"]).where(near).select(*out)
+    runs = lambda s: F.transform(F.array(*map(array, rest))[F.col("k")], lambda m, n: F.struct(n.alias("s"), F.col(f"{s}_bits").bitwiseAND(m).alias("u")))
+    hot = lambda rows, s: rows.join(crowded, ["c", "v", "k"], "left_semi").select("*", F.explode(runs(s)).alias("_i")).select("*", "_i.s", "_i.u").drop("_i")
+    calm = x.join(crowded, ["c", "v", "k"], "left_anti").join(y.hint("merge"), ["c", "v", "k"]).where(near).select(*out)
+    inner = F.array(*map(array, rest))[F.col("k")]
+    again = F.col("s") == first_of([apart.bitwiseAND(inner[n]) == 0 for n in range(distance + 1)])
+    return calm.unionByName(hot(x, "x").join(hot(y, "y").hint("merge"), ["c", "v", "k", "s", "u"]).where(near & again).select(*out))
+
+
 def near_images(df: DataFrame, key: str, group: str | None, bits: str, means: str, distance: int = 4, color: float = 12.0) -> DataFrame:
     """(a, b, distance): pairs of rows of different groups (of all rows, if group is None) whose 64-bit hashes differ in at
-    most ``distance`` bits and whose mean colours differ by less than ``color`` in every channel.
+    most ``distance`` bits and whose mean colours differ by less than ``color`` in every channel, as near_pairs() finds them.
 
-    Rows with the same group, hash and colours meet others as one, that with the least key. Hashes cut into distance + j
-    runs of bits that near agree in j of them, and j grows with the number of classes, so that a bucket of equal runs
-    stays small on average. Where hashes crowd all the same, a bucket's rows are divided again: by runs of their remaining
-    bits, which near hashes share one of too, and by cells of their first colour, of which neighbours meet. A pair is put
-    out where it first meets. Null hashes and colours have no partners."""
+    Rows with the same group, hash and colours meet others as one, that with the least key. Null hashes and colours have
+    no partners."""
     own = [c for c in (group,) if c]
     classes = df.groupBy(*own, bits, means).agg(F.min(key).alias("_key")).where(F.col(bits).isNotNull() & F.col(means).isNotNull())
-    classes = Scratch(df.sparkSession).saved(classes)
-    n, j = classes.count(), 1
-    while j < 4 and n > BUCKET * 2 ** (64 * j / (distance + j)):
-        j += 1
-    masks = _masks(list(range(64)), distance + j, j)
-    rest = [_masks([b for b in range(64) if not (m >> b) & 1], distance + 1, 1) for m in masks]
-    array = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
-    banded = classes.select("*", F.explode(F.transform(array(masks), lambda m, k: F.struct(k.alias("k"), F.col(bits).bitwiseAND(m).alias("v")))).alias("_b")).select("*", "_b.k", "_b.v").drop("_b")
-    crowded = banded.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("k", "v", F.lit(True).alias("_hot"))
-    marked = banded.join(crowded, ["k", "v"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    side = lambda rows, s, *more: rows.select("k", "v", *more, *(F.col(c).alias(f"{s}_{n}") for c, n in ((bits, "bits"), (means, "means"), ("_key", "key"), *((c, "group") for c in own))))
-    calm = marked.where("not _hot")
-    met = side(calm, "x").join(side(calm, "y"), ["k", "v"]).withColumn("_s", F.lit(None).cast("int"))
-    inner = F.transform(F.array(*map(array, rest))[F.col("k")], lambda m, s: F.struct(s.alias("s"), F.col(bits).bitwiseAND(m).alias("u")))
-    hot = marked.where("_hot").select("*", F.explode(inner).alias("_i")).select("*", "_i.s", "_i.u", F.floor(F.coalesce(F.get(means, F.lit(0)), F.lit(0.0)) / color).cast("long").alias("c"))
-    around = hot.withColumn("c", F.explode(F.array(*(F.col("c") + d for d in (-1, 0, 1)))))
-    met = met.unionByName(side(hot, "x", "s", "u", "c").join(side(around, "y", "s", "u", "c"), ["k", "v", "s", "u", "c"]).withColumnRenamed("s", "_s").drop("u", "c"))
-    apart = F.col("x_bits").bitwiseXOR(F.col("y_bits"))
-    agree = lambda xs: F.array_min(F.filter(F.transform(xs, lambda m, k: F.when(apart.bitwiseAND(m) == 0, k)), lambda k: k.isNotNull()))
-    near = F.forall(F.zip_with("x_means", "y_means", lambda a, b: F.abs(a - b) < color), lambda x: x)
-    met = met.where((F.col("x_key") < F.col("y_key")) & (F.col("x_group") != F.col("y_group") if own else F.lit(True))).withColumn("distance", F.bit_count(apart)).where((F.col("distance") <= distance) & F.coalesce(near, F.lit(False)))
-    first = (F.col("k") == agree(array(masks))) & (F.col("_s").isNull() | (F.col("_s") == agree(F.array(*map(array, rest))[F.col("k")])))
-    return met.where(first).select(F.col("x_key").alias("a"), F.col("y_key").alias("b"), "distance").distinct()
+    return near_pairs(Scratch(df.sparkSession).saved(classes), None, "_key", group, bits, means, distance, color)
 
 
 def first_plans(*plans: DataFrame, key: str) -> DataFrame:
