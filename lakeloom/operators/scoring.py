@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
@@ -20,12 +22,13 @@ def _share(condition: Column) -> Column:
     return F.coalesce(F.avg(F.coalesce(condition.cast("double"), F.lit(0.0))), F.lit(0.0))
 
 
-def bag_overlaps(x: pd.Series, y: pd.Series, order: int) -> np.ndarray:
+def bag_overlaps(x: pa.ListArray | pd.Series, y: pa.ListArray | pd.Series, order: int) -> np.ndarray:
     """A row for each pair of word lists: how many n-grams their bags share, for n = 1..order. All rows at once: words and
     then n-grams are numbered, and equal numbers of a row are counted on either side."""
+    x, y = (v if isinstance(v, pa.Array) else pa.array(list(v), pa.list_(pa.string())) for v in (x, y))
     n = len(x)
-    sizes = np.concatenate([x.map(len).to_numpy(dtype=np.int64), y.map(len).to_numpy(dtype=np.int64)])
-    words = pd.factorize(np.concatenate([*(np.asarray(w, dtype=object) for w in (*x, *y)), np.zeros(0, dtype=object)]))[0]
+    sizes = np.concatenate([pc.list_value_length(v).to_numpy(zero_copy_only=False) for v in (x, y)]).astype(np.int64)
+    words = pa.concat_arrays([x.flatten(), y.flatten()]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(2 * n), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words from here to the end of the list
     out, gram = np.zeros((n, order), dtype=np.int64), words
@@ -43,10 +46,29 @@ def bag_overlaps(x: pd.Series, y: pd.Series, order: int) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(ArrayType(LongType()))  # a type by name would need a session
-def _shared_grams(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+#: Words that n-grams are counted of at once; a pair of longer texts is counted by itself.
+WORDS = 200_000
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (from, to) of at most ``most`` words together, one row at least."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, end
+        start = end
+
+
+@F.arrow_udf(ArrayType(LongType()))  # a type by name would need a session
+def _shared_grams(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Words stay in Arrow's buffers but for those of a run of rows, as a batch may have many."""
     for x, y, order in batches:
-        yield pd.Series(list(bag_overlaps(x, y, int(order.iloc[0])))) if len(x) else pd.Series([], dtype=object)
+        sizes, out = sum(pc.list_value_length(v).to_numpy(zero_copy_only=False) for v in (x, y)), []
+        for start, end in _runs(sizes, WORDS):
+            own = [v.slice(start, end - start) for v in (x, y)]
+            out.append(bag_overlaps(*own, order[0].as_py()))
+        flat = np.concatenate(out) if out else np.zeros((0, 1), dtype=np.int64)
+        yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
 
 def shared_grams(x: Column, y: Column, order: int = 1) -> Column:

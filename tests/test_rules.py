@@ -247,3 +247,19 @@ def test_series_of_records(spark):
     df = spark.createDataFrame(rows, "a string, b string, v array<double>, t string, want array<double>")
     got = df.select("want", records.series_values([F.col("a"), F.col("b")], [F.col("v")], F.col("t")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_shared_grams_are_counted_in_runs_of_rows(spark, monkeypatch):
+    """A batch is cut by its words, so that what is counted at once does not grow with the batch."""
+    assert list(scoring._runs(np.array([3, 4, 90, 0, 0, 5, 6]), 10)) == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    assert list(scoring._runs(np.array([], dtype=np.int64), 10)) == []
+    rng, most = np.random.default_rng(5), []
+    lists = [pa.array([[str(w) for w in rng.integers(0, 6, rng.integers(0, 30))] for _ in range(200)]) for _ in range(2)]
+    count = scoring.bag_overlaps
+    whole = count(*lists, 3)
+    monkeypatch.setattr(scoring, "WORDS", 100)
+    monkeypatch.setattr(scoring, "bag_overlaps", lambda x, y, order: most.append(len(x.flatten()) + len(y.flatten())) or count(x, y, order))
+    got = next(scoring._shared_grams.func(iter([(*lists, pa.array([3] * 200))])))
+    assert got.to_pylist() == whole.tolist() and len(most) > 20 and max(most) <= 100
+    none = spark.range(0).select(scoring.shared_grams(F.array(F.lit("a")), F.array(F.lit("a")), 2).alias("n"))
+    assert none.collect() == []
