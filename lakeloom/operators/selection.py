@@ -5,11 +5,15 @@ parallel: an undecided row with no undecided row before it among its conflicts i
 it fall. Conflicts are shared keys (a row a member, never pairs) and pairs. After ``ROUNDS`` rounds what is undecided has
 mostly come apart: components of up to ``COMPONENT`` rows and links are each finished by one task in one pass, and only
 larger ones go on in rounds. (A chain of undecided rows in a larger one takes a round for every two of its rows: the
-problem is as sequential as any.)"""
+problem is as sequential as any.)
+
+Where conflicts are so many that they should not all be listed, as those of near hashes, rows go block by block: what a
+block takes falls upon all rows behind it at once, so that only conflicts within a block, of rows that are left, and with
+taken rows, which are few about any row, are ever looked for."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +24,10 @@ from lakeloom.sources.scratch import Scratch
 
 #: Rounds before components are looked for, and the rows and links of a component that one task finishes.
 ROUNDS, COMPONENT = 3, 200_000
+#: Rows of the first block, and how many times as many each further block has.
+BLOCK, WIDER = 8192, 4
+#: From classes (c) and other classes (c; null: the same) to pairs (a, b) of them that are near.
+Near = Callable[[DataFrame, DataFrame | None], DataFrame]
 
 
 def linked(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -102,14 +110,47 @@ def first_independent(nodes: DataFrame, members: DataFrame, pairs: DataFrame, ro
     return out
 
 
-def select_first(df: DataFrame, order: list[str], reason: Column, keys: dict[str, Column], shared: dict[str, DataFrame] | None = None, pairs: tuple[str, DataFrame] | None = None, key: str = "id", count: int | None = None) -> DataFrame:
+def first_apart(nodes: DataFrame, members: DataFrame, near: Near, block: int = BLOCK) -> DataFrame:
+    """(i): the nodes (i, c: a class or null) that a pass in order of i takes; members (i, key) as for first_independent();
+    nodes of one class conflict, and so do those of two classes that are near."""
+    scratch = Scratch(nodes.sparkSession)
+    live = scratch.saved(nodes.select(F.col("i").cast("long"), "c"))
+    members = scratch.saved(members.select("i", "key").where("key is not null").distinct())
+    out = None
+    while True:
+        n = live.count()
+        cut = live.agg(F.percentile_approx("i", block / n, 10_000)).first()[0] if n > block else None
+        now = live if cut is None else live.where(F.col("i") <= cut)
+        classes = scratch.saved(now.select("c").where("c is not null").distinct())
+        pairs = near(classes, None).select(F.explode(F.array("a", "b")).alias("c"), F.concat_ws("|", "a", "b").alias("key"))  # all of two near classes share a text
+        shared = now.where("c is not null").select("i", F.col("c").cast("string").alias("key")).unionByName(now.join(pairs, "c").select("i", "key"))
+        no_pairs = now.select(F.col("i").alias("a"), F.col("i").alias("b")).where("false")
+        taken = scratch.saved(first_independent(now.select("i"), members.join(now, "i", "left_semi").unionByName(shared), no_pairs))
+        out = taken if out is None else out.unionByName(taken)
+        if cut is None:
+            return out
+        behind = live.where(F.col("i") > cut)
+        gone = scratch.saved(now.join(taken, "i", "left_semi").select("c").where("c is not null").distinct())
+        others = scratch.saved(behind.select("c").where("c is not null").distinct().join(gone, "c", "left_anti"))
+        fallen = gone.union(near(gone, others).select("b")).distinct()
+        used = members.join(taken, "i", "left_semi").select("key").distinct()
+        after = scratch.saved(behind.join(fallen, "c", "left_anti").join(members.join(used, "key", "left_semi").select("i").distinct(), "i", "left_anti"))
+        rest = scratch.saved(members.join(after, "i", "left_semi"))
+        scratch.drop(live, members, classes, gone, others)
+        live, members, block = after, rest, block * WIDER
+
+
+def select_first(df: DataFrame, order: list[str], reason: Column, keys: dict[str, Column], shared: dict[str, DataFrame] | None = None, pairs: tuple[str, DataFrame] | None = None, key: str = "id", count: int | None = None, near: tuple[str, str, Near] | None = None) -> DataFrame:
     """Adds place (in the order), taken and reason: rows in order are taken, up to ``count`` of them, unless ``reason``
     excludes them (a text; null for eligible rows) or they conflict with a row taken before.
 
     keys: by reason, in the order in which they are looked at, an array of texts (or a text); rows that share one of the
     same kind conflict. shared: after them, by reason, rows (the column ``key``, v) of such texts in a table of their own;
-    all of two classes conflict if each row of both has a text for the two. pairs: a reason, looked at last, and pairs (a, b) of the column ``key`` that conflict. What a row
+    all of two classes conflict if each row of both has a text for the two. pairs: a reason, looked at last, and pairs (a, b) of the column ``key`` that conflict. near, in place
+    of pairs: a reason, the column of a row's class, and what finds near classes; rows of one class or near ones conflict. What a row
     is excluded for is the first reason that holds; rows behind the last taken are ``not_reached``."""
+    if pairs and near:
+        raise ValueError("either pairs or near classes")
     scratch, shared = Scratch(df.sparkSession), shared or {}
     placed = scratch.saved(with_index(df.withColumn("_reason", reason), *order, name="place"))
     able = placed.where("_reason is null")
@@ -131,7 +172,11 @@ def select_first(df: DataFrame, order: list[str], reason: Column, keys: dict[str
         at = able.select(F.col(key).alias("_k"), "place")
         ends = pairs[1].select("a", "b").join(at.select(F.col("_k").alias("a"), F.col("place").alias("x")), "a").join(at.select(F.col("_k").alias("b"), F.col("place").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     ends = scratch.saved(ends)
-    chosen = first_independent(able.select(F.col("place").alias("i")), members.select("i", F.to_json(F.struct("kind", "v")).alias("key")), ends)
+    named_keys = members.select("i", F.to_json(F.struct("kind", "v")).alias("key"))
+    if near:
+        chosen = first_apart(able.select(F.col("place").alias("i"), F.col(near[1]).alias("c")), named_keys, near[2])
+    else:
+        chosen = first_independent(able.select(F.col("place").alias("i")), named_keys, ends)
     if count is not None:
         chosen = with_index(chosen, "i", name="_n").where(F.col("_n") < count).drop("_n")
     chosen = scratch.saved(chosen)
@@ -143,7 +188,7 @@ def select_first(df: DataFrame, order: list[str], reason: Column, keys: dict[str
     out = placed.join(chosen.select(F.col("i").alias("place"), F.lit(True).alias("_taken")), "place", "left").join(why.withColumnRenamed("i", "place"), "place", "left")
     last = chosen.agg(F.max("i").alias("_last"), F.count(F.lit(1)).alias("_all"))  # one row
     beyond = (F.col("place") > F.col("_last")) & (F.col("_all") >= F.lit(count)) if count is not None else F.lit(False)
-    said = F.when(F.coalesce("_taken", F.lit(False)), None).when(beyond, "not_reached").otherwise(F.coalesce("_reason", names[F.col("_why")]))
+    said = F.when(F.coalesce("_taken", F.lit(False)), None).when(beyond, "not_reached").otherwise(F.coalesce("_reason", F.get(names, F.col("_why")), F.lit(near[0] if near else None)))  # nothing else has kept out what is near
     return out.join(F.broadcast(last)).select(*df.columns, "place", F.coalesce("_taken", F.lit(False)).alias("taken"), said.alias("reason"))
 
 

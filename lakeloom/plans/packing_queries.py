@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from lakeloom.functions import blake2
 from lakeloom.operators import crystals, metrics, ordering, packing, pairing, selection
@@ -66,16 +69,22 @@ _TEXT_HASHES = f"""h AS MATERIALIZED (
 _NEAR = "bit_count(xor(x.bits, y.bits)) <= 4 AND len(list_filter(list_zip(x.means, y.means), lambda m: abs(m[1] - m[2]) >= 12)) = 0"
 
 
-def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, text, bits, means): hashes of texts as of rows of pixels."""
+@F.pandas_udf(ArrayType(LongType()))  # a type by name would need a session
+def _pixel_counts(texts: pd.Series) -> pd.Series:
+    """How often a text has each of the pixels' characters, all of which are single bytes of UTF-8."""
+    codes = np.frombuffer(_PIXELS.encode(), dtype=np.uint8)
+    return pd.Series([np.bincount(np.frombuffer(x.encode(), dtype=np.uint8), minlength=256)[codes] for x in texts], dtype=object)
+
+
+def text_hashes(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """(doc_id, source, bits, means): hashes of texts as of rows of pixels, with more columns of the texts."""
     d = t(spark, sf_dir, "documents").where("text is not null")
-    counts = F.array(*(F.length("text") - F.length(F.replace("text", F.lit(c))) for c in _PIXELS))
-    d = d.select("doc_id", "source", "text", counts.alias("p"))
+    d = d.select("doc_id", "source", F.length("text").alias("n"), _pixel_counts("text").alias("p"), *(c.alias(k) for k, c in more.items()))
     one = F.array(*(F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("long") for x in (1 << k for k in range(64))))
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.when(F.get("p", k) > F.get("p", k + 1), F.get(one, k)).otherwise(F.lit(0).cast("long"))))
-    means = F.array(F.length("text") / F.lit(10.0), F.get("p", F.lit(0)).cast("double"), F.get("p", F.lit(1)).cast("double"))
-    # saved, as counting is dear and what follows asks for the hashes again and again
-    return Scratch(spark).saved(d.select("doc_id", "source", "text", bits.alias("bits"), means.alias("means")))
+    means = F.array(F.col("n") / F.lit(10.0), F.get("p", F.lit(0)).cast("double"), F.get("p", F.lit(1)).cast("double"))
+    # saved, as what follows asks for the hashes again and again
+    return Scratch(spark).saved(d.select("doc_id", "source", bits.alias("bits"), means.alias("means"), *more))
 
 
 @query(
@@ -108,16 +117,17 @@ SELECT doc_id, reason IS NULL AS taken, reason FROM w WHERE r > 0
 )
 def selected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in order, each taken unless an earlier taken one shares its beginning or text, or is near it."""
-    d = text_hashes(spark, sf_dir)
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     why = F.when(~words.between(5, 3000), "word_budget")
-    same = d.select("doc_id", F.md5(F.to_json(F.struct("bits", "means")).cast("binary")).alias("same"))
-    of = same.join(same.groupBy("same").agg(F.min("doc_id").alias("a")), "same").select("doc_id", "a")
-    # rows of one hash are a class; all of two near classes conflict, and share a text for that
-    pairs = pairing.near_images(d, "doc_id", None, "bits", "means").select(F.explode(F.array("a", "b")).alias("a"), F.concat_ws("|", "a", "b").alias("v"))
-    shared = of.select("doc_id", F.col("a").cast("string").alias("v")).union(of.join(pairs, "a").select("doc_id", "v"))
-    keys = {"same_head": F.substring("text", 1, 24), "same_pixels": F.md5(F.col("text").cast("binary"))}
-    out = selection.select_first(d, ["doc_id"], why, keys, {"near": shared}, key="doc_id")
+    d = text_hashes(spark, sf_dir, why=why, head=F.substring("text", 1, 24), pixels=F.md5(F.col("text").cast("binary")))
+    d = d.withColumn("same", F.md5(F.to_json(F.struct("bits", "means")).cast("binary")))
+    # rows of one hash are a class, named by the least of them
+    classes = Scratch(spark).saved(d.groupBy("same").agg(F.min("doc_id").alias("c"), F.first("bits").alias("bits"), F.first("means").alias("means")))
+
+    def near(left: DataFrame, right: DataFrame | None) -> DataFrame:
+        return pairing.near_pairs(classes.join(left, "c"), None if right is None else classes.join(right, "c"), "c", None, "bits", "means")
+
+    out = selection.select_first(d.join(classes.select("same", "c"), "same"), ["doc_id"], F.col("why"), {"same_head": F.col("head"), "same_pixels": F.col("pixels")}, key="doc_id", near=("near", "c", near))
     return out.select("doc_id", "taken", "reason")
 
 

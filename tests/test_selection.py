@@ -101,3 +101,38 @@ def test_masks_cover_every_near_pair():
         for _ in range(200):
             x = sum(1 << b for b in random.sample(range(64), 4))
             assert any(m & x == 0 for m in masks)
+
+
+@pytest.mark.parametrize(("block", "seed"), [(8192, 0), (20, 1), (5, 2), (1, 3)])
+def test_blocks_of_near_classes_against_a_sequential_pass(spark, block, seed):
+    """What a block takes falls upon the rows behind it: by keys, by classes and by near ones; rows without a class too."""
+    rng, n = random.Random(seed), 120
+    classes = {i: rng.choice([None, *range(40)]) for i in range(n)}
+    members = [(rng.randrange(n), f"k{rng.randrange(50)}") for _ in range(60)]
+    links = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)}
+    table = spark.createDataFrame([(a, b) for a, b in links] + [(b, a) for a, b in links], "a long, b long")
+
+    def near(left, right):
+        asked = table.join(left.withColumnRenamed("c", "a"), "a", "left_semi").join((left if right is None else right).withColumnRenamed("c", "b"), "b", "left_semi")
+        return asked.where("a < b") if right is None else asked
+
+    of = lambda i: classes[i] is not None
+    apart = lambda i, j: not (of(i) and of(j) and (classes[i] == classes[j] or tuple(sorted((classes[i], classes[j]))) in links))
+    pairs = [(i, j) for i in range(n) for j in range(i) if not apart(i, j)]
+    nodes = spark.createDataFrame(list(classes.items()), "i long, c long")
+    got = selection.first_apart(nodes, spark.createDataFrame(members, "i long, key string"), near, block)
+    assert sorted(r.i for r in got.collect()) == sequential(n, members, pairs)
+
+
+def test_near_pairs_of_two_tables_and_their_plan(spark):
+    """Each pair once, whatever the cells' borders; no side is gathered, however small its files are."""
+    rng = random.Random(3)
+    rows = [(k, rng.choice([0, 255, -1]) ^ (1 << rng.randrange(62)), [rng.choice([-12.0, -0.5, 0.0, 11.9, 12.0, 1e300]), rng.uniform(-30, 30)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, bits long, means array<double>")
+    every = near_by_all_pairs([(k, None, b, m) for k, b, m in rows], grouped=False)
+    got = [tuple(r) for r in pairing.near_pairs(df.where("id < 40"), df.where("id >= 40"), "id", None, "bits", "means").collect()]
+    assert len(got) == len(set(got)) and set(got) == {p for p in every if p[0] < 40 <= p[1]}
+    met = pairing.near_pairs(df, None, "id", None, "bits", "means")
+    assert len(met.collect()) == len(every) > 20
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
