@@ -679,7 +679,7 @@ SELECT o_orderkey, token, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER
 )
 def variant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = curation.record_fields(_records(spark, sf_dir), "o_orderkey", "record")
-    return curation.variant_tokens(fields.where("field = 'VARIANT'"), "o_orderkey")
+    return curation.variant_tokens(fields.where("field = 'VARIANT'"), "o_orderkey", records=t(spark, sf_dir, "orders").count())
 
 
 _SPDI = "concat('NC_', l_suppkey, ':', CASE WHEN l_linenumber = 3 THEN 'x' ELSE CAST(l_partkey AS VARCHAR(20)) END, ':A:', CASE WHEN l_linenumber = 5 THEN 'G:T' ELSE 'G' END)"

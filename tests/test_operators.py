@@ -159,3 +159,12 @@ def test_ingest(spark, tmp_path):
 
     assert put("1.json", ("a", 1, 1.0), ("b", 1, 2.0), ("a", 2, 3.0)) == [("a", 2, 3.0), ("b", 1, 2.0)]
     assert put("2.json", ("a", 1, 9.0), ("c", 5, 4.0), ("b", 7, 5.0)) == [("a", 2, 3.0), ("b", 7, 5.0), ("c", 5, 4.0)]
+
+
+def test_record_fields_shuffle_nothing_and_tokens_are_dealt(spark):
+    df = spark.createDataFrame([(1, "  lost\nA x1v2\n\n   y 3v4 1v2\nB  9v9"), (2, ""), (3, None), (4, "A 5v6\r\nA\n 7v8")], "k long, text string")
+    fields = curation.record_fields(df, "k", "text")
+    assert "Exchange" not in fields._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rows(fields), key=lambda r: r[:2]) == [(1, 0, None, "lost"), (1, 1, "A", "x1v2"), (1, 3, "A", "y 3v4 1v2"), (1, 4, "B", "9v9"), (4, 0, "A", "5v6\r"), (4, 1, "A", ""), (4, 2, "A", "7v8")]
+    got = curation.variant_tokens(fields.where("field = 'A'"), "k", records=4)
+    assert sorted(rows(got)) == [(1, "1v2", 0), (1, "3v4", 1), (4, "5v6", 0), (4, "7v8", 1)]
