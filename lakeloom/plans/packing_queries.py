@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -170,8 +170,9 @@ SELECT structure, atom, CAST(count(*) AS BIGINT) AS neighbours, round(min(distan
 def crystal_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as crystals whose lines are atoms: neighbours within 3, six an atom."""
     fraction = lambda c: (F.col(c).cast("long") * 37 % 101) / F.lit(101.0)
-    lines = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("structure")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("q")))).alias("ls"))  # the lines of one order
-    atoms = lines.select("structure", F.posexplode("ls").alias("k", "l")).select("structure", (F.col("k") + 1).cast("long").alias("atom"), fraction("l.l_partkey").alias("x"), fraction("l.l_suppkey").alias("y"), fraction("l.q").alias("z"))
+    d = t(spark, sf_dir, "lineitem").withColumn("row", F.col("_metadata.row_index"))  # lines that tie keep the table's order, as in the SQL
+    place = Window.partitionBy("l_orderkey").orderBy(*(F.asc_nulls_last(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "row", "l_quantity")))
+    atoms = d.select(F.col("l_orderkey").alias("structure"), F.row_number().over(place).cast("long").alias("atom"), *(fraction(c).alias(a) for c, a in (("l_partkey", "x"), ("l_suppkey", "y"), ("l_quantity", "z"))))
     w, skew, none = F.lit(4.5) + F.col("o_custkey") % 7, (F.col("o_custkey") % 3).cast("double"), F.lit(0.0)
     lattices = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("structure"), F.array(w, none, none).alias("a"), F.array(skew, w, none).alias("b"), F.array(none, none, w).alias("c"))
     near = crystals.crystal_neighbours(atoms, lattices, cutoff=3.0, most=6)
